@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandweave import views
 from strandweave.functions import sequence as sq
 from strandweave.functions.overlap import classify, twin_rows
-from strandweave.operators import contigs, decode, graph, hops, kmers, overlaps, scaffold, telomere, walks
+from strandweave.operators import baseline, contigs, gnn, graph, hops, kmers, overlaps, scaffold, telomere, walks
 from strandweave.plans import oracle
 from strandweave.plans.postprocess import KmerSettings, Settings, TelomereScan, postprocess
 from strandweave.session import cut, tune
@@ -501,8 +501,8 @@ def _(spark, sf):
 
 @query(
     "position_to_node",
-    """SELECT p.walk_id, at, pos, node_id FROM (SELECT walk_id, unnest(range(0, (sum(piece_len))::BIGINT, 97)) AS at FROM cpieces GROUP BY walk_id) p
-    JOIN cpieces c ON c.walk_id = p.walk_id AND at >= "offset" AND at < "offset" + piece_len""",
+    """SELECT p.walk_id, pt AS "at", pos, node_id FROM (SELECT walk_id, unnest(range(0, (sum(piece_len))::BIGINT, 97)) AS pt FROM cpieces GROUP BY walk_id) p
+    JOIN cpieces c ON c.walk_id = p.walk_id AND pt >= "offset" AND pt < "offset" + piece_len""",
 )
 def _(spark, sf):
     placed = placed_pieces(spark, sf)
@@ -643,7 +643,11 @@ def _(spark, sf):
     return cov.select("new_src", "new_dst", F.round("diff_fwd", 6).alias("diff_fwd"), "ok_fwd", F.round("diff_rev", 6).alias("diff_rev"), "ok_rev")
 
 
-@query("components")
+@query(
+    "components",
+    """SELECT a AS node_id, min(b) AS comp FROM (WITH RECURSIVE reach(a, b) AS (SELECT src, src FROM rawedges UNION SELECT dst, dst FROM rawedges
+    UNION SELECT a, n FROM reach JOIN (SELECT src AS m, dst AS n FROM rawedges UNION SELECT dst, src FROM rawedges) ON m = b) SELECT a, b FROM reach) GROUP BY a""",
+)
 def _(spark, sf):
     return graph.components(raw_asm(spark, sf).edges)
 
@@ -681,3 +685,57 @@ def _(spark, sf):
                     F.lit("0"), F.lit("1"), F.col("l_discount").cast("string")).alias("value"),
     )
     return reports.phasing_errors(rows)
+
+
+# ------------------------------------------------------------------- scored baseline
+
+
+@query(
+    "node_features",
+    """SELECT node_id, round((i - 10.10::DOUBLE) / 2.74::DOUBLE, 9) AS in_z, round((o - 10.10::DOUBLE) / 2.74::DOUBLE, 9) AS out_z, 1.0::DOUBLE AS one FROM (
+    SELECT node_id, (SELECT count(*) FROM rawedges WHERE dst = node_id) AS i, (SELECT count(*) FROM rawedges WHERE src = node_id) AS o FROM rawnodes)""",
+)
+def _(spark, sf):
+    asm = raw_asm(spark, sf)
+    return gnn.node_features(asm.nodes, asm.edges).withColumns(
+        {"in_z": F.round("in_z", 9), "out_z": F.round("out_z", 9)}
+    )
+
+
+@query("edge_features", "SELECT src, dst, round((ol_len - 10341::DOUBLE) / 5521::DOUBLE, 9) AS ol_z FROM rawedges")
+def _(spark, sf):
+    return gnn.edge_features(raw_asm(spark, sf).edges).select("src", "dst", F.round("ol_z", 9).alias("ol_z"))
+
+
+@query(
+    "gated_sum",
+    """SELECT dst AS node_id, round(sum(g1 * src) / (sum(g1) + 1e-6::DOUBLE), 6) AS x, round(sum(g2 * ol_len) / (sum(g2) + 1e-6::DOUBLE), 6) AS y
+    FROM (SELECT src, dst, ol_len, 1 / (1 + exp(-(ol_len / 10.0::DOUBLE))) AS g1, 1 / (1 + exp(-(prefix_len / 1000.0::DOUBLE))) AS g2 FROM rawedges) GROUP BY dst""",
+)
+def _(spark, sf):
+    logistic = lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
+    messages = raw_asm(spark, sf).edges.select(
+        F.col("dst").alias("node_id"),
+        F.array(F.col("src").cast("double"), F.col("ol_len").cast("double")).alias("v"),
+        F.array(logistic(F.col("ol_len") / 10.0), logistic(F.col("prefix_len") / 1000.0)).alias("g"),
+    )
+    out = gnn.gated_mean(messages, "node_id", "v", "g", 2)
+    return out.select("node_id", F.round(F.col("v")[0], 6).alias("x"), F.round(F.col("v")[1], 6).alias("y"))
+
+
+@stage
+def scored_edges(spark, sf):
+    asm = raw_asm(spark, sf)
+    weights = gnn.random_weights(hidden=16, inner=8, score=16, layers=2)
+    scores = gnn.edge_scores(asm.nodes, asm.edges, weights)
+    return cut(asm.edges.join(scores.select("edge_id", "score"), "edge_id"))
+
+
+@query("gnn_scores")
+def _(spark, sf):
+    return scored_edges(spark, sf).select("src", "dst", F.round("score", 3).alias("score"))
+
+
+@query("greedy_walks")
+def _(spark, sf):
+    return baseline.greedy_walks(scored_edges(spark, sf), raw_asm(spark, sf).nodes, nb_paths=20, len_threshold=2, min_length=100)

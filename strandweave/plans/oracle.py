@@ -208,14 +208,14 @@ def _rotations(motif: str) -> str:
 
 
 _PAIR = str.maketrans("ACGT", "TGCA")
-CTES["tpos"] = f"""SELECT walk_id, n, base + j AS at, substr(t, j::INT + 1, {M}) AS w FROM (
+CTES["tpos"] = f"""SELECT walk_id, n, base + j AS pt, substr(t, j::INT + 1, {M}) AS w FROM (
  SELECT walk_id, n, base, t, unnest(range(0, least(1000, length(t) - {M - 1}))) AS j FROM (
  SELECT walk_id, n, c AS base, substr(seq, c::INT + 1, {1000 + M - 1}) AS t FROM (
  SELECT walk_id, seq, length(seq) AS n, unnest(range(0, length(seq), 1000)) AS c FROM ctext)))"""
 CTES["tside"] = " UNION ALL ".join(
     f"SELECT walk_id, n, {no} AS motif_no, '{side}' AS side, {step} AS step, CASE WHEN w IN {_rotations(m)} THEN 1 ELSE {-PENALTY} END AS v FROM tpos"
     for no, motif in enumerate(MOTIFS)
-    for side, m, step in (("start", motif, "at"), ("end", motif[::-1].translate(_PAIR), f"n - {M} - at"))
+    for side, m, step in (("start", motif, "pt"), ("end", motif[::-1].translate(_PAIR), f"n - {M} - pt"))
 )
 CTES["tscore"] = "SELECT *, sum(v) OVER (PARTITION BY walk_id, motif_no, side ORDER BY step) AS score FROM tside"
 CTES["tbest"] = """SELECT *, greatest(0, max(score) OVER (PARTITION BY walk_id, motif_no, side ORDER BY step)) AS best FROM tscore"""
@@ -226,8 +226,8 @@ CTES["regions"] = f"""SELECT walk_id, motif_no, side, CASE WHEN side = 'start' T
  SELECT walk_id, motif_no, side, any_value(n) AS n, max(score) AS top, arg_max(step, (score, -step)) AS step FROM tlive GROUP BY walk_id, motif_no, side)
  WHERE top >= {MIN_SCORE}"""
 CTES["typed"] = f"""SELECT *, CASE WHEN c1 > c2 THEN '+' ELSE '-' END AS motif FROM (
- SELECT r.*, (SELECT count(*) FROM tpos p WHERE p.walk_id = r.walk_id AND p.w = '{MOTIFS[0]}' AND p.at >= r."start" AND p.at + {M} <= r."end" - 1) AS c1,
-  (SELECT count(*) FROM tpos p WHERE p.walk_id = r.walk_id AND p.w = '{MOTIFS[1]}' AND p.at >= r."start" AND p.at + {M} <= r."end" - 1) AS c2 FROM regions r)"""
+ SELECT r.*, (SELECT count(*) FROM tpos p WHERE p.walk_id = r.walk_id AND p.w = '{MOTIFS[0]}' AND p.pt >= r."start" AND p.pt + {M} <= r."end" - 1) AS c1,
+  (SELECT count(*) FROM tpos p WHERE p.walk_id = r.walk_id AND p.w = '{MOTIFS[1]}' AND p.pt >= r."start" AND p.pt + {M} <= r."end" - 1) AS c2 FROM regions r)"""
 CTES["tnodes"] = """SELECT walk_id, start_node, arg_min(end_node, o) AS end_node, arg_min(motif, o) AS motif FROM (
  SELECT t.walk_id, motif, (motif_no, side <> 'start') AS o, a.node_id AS start_node, b.node_id AS end_node FROM typed t
  JOIN cpieces a ON a.walk_id = t.walk_id AND t."start" >= a."offset" AND t."start" < a."offset" + a.piece_len
@@ -238,7 +238,7 @@ CTES["cends2"] = """SELECT walk_id, pos, node_id, pos < cutoff AS at_start, pos
  SELECT contig_no AS walk_id, pos, node_id, n, greatest(1, floor(n / (1 / 0.01::DOUBLE)))::BIGINT AS cutoff FROM (
  SELECT contig_no, pos, node_id, count(*) OVER (PARTITION BY contig_no) AS n FROM cplaced)) WHERE pos < cutoff OR pos >= n - cutoff"""
 CTES["near"] = f"""SELECT DISTINCT g.orient, g.read_id, dir, e.walk_id, g.node_id, prefix_len, ol_len FROM (
- SELECT orient, read_id, dir, {_node('real_id', 'nbr_orient')} AS node_id, prefix_len, ol_len FROM conga JOIN cread c ON c.read_id = nbr_read WHERE hop = 1) g
+ SELECT orient, a.read_id, dir, {_node('real_id', 'nbr_orient')} AS node_id, prefix_len, ol_len FROM conga a JOIN cread c ON c.read_id = nbr_read WHERE hop = 1) g
  JOIN cends2 e ON e.node_id = g.node_id AND CASE WHEN dir = 'out' THEN at_start ELSE at_end END"""
 CTES["ghosts"] = """SELECT orient, read_id, (SELECT count(DISTINCT contig_no) FROM cplaced) + row_number() OVER (ORDER BY orient, read_id) - 1 AS ghost FROM (
  SELECT orient, read_id FROM near GROUP BY ALL HAVING count(*) FILTER (dir = 'in') > 0 AND count(*) FILTER (dir = 'out') > 0 AND min(walk_id) < max(walk_id))"""
