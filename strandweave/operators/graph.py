@@ -44,9 +44,8 @@ def reverse_edges(edges: DataFrame) -> DataFrame:
 
 def remove_nodes(edges: DataFrame, gone: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Edges touching none of the nodes in ``gone`` (column node_id)."""
-    return edges.join(gone.select(F.col("node_id").alias(src)), src, "left_anti").join(
-        gone.select(F.col("node_id").alias(dst)), dst, "left_anti"
-    )
+    left = edges.join(gone.select(F.col("node_id").alias(src)), src, "left_anti")
+    return left.join(gone.select(F.col("node_id").alias(dst)), dst, "left_anti").select(*edges.columns)
 
 
 def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
