@@ -27,8 +27,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fields(lines: DataFrame) -> DataFrame:
-    """Add ``f``, the whitespace separated fields of the trimmed line."""
-    return lines.withColumn("f", F.split(F.trim("value"), r"\s+"))
+    """line_no and ``f``, the whitespace separated fields of the trimmed line.
+
+    The one-element explode keeps the optimizer from repeating the split in every column
+    taken from ``f``.
+    """
+    return lines.select("line_no", F.explode(F.array(F.split(F.trim("value"), r"\s+"))).alias("f"))
 
 
 def require(condition, value, message: str):

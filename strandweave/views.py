@@ -46,7 +46,9 @@ def long_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads(spark, sf_dir).select("doc_id", "read_id", "read_len")
+    # grouped so that the length is computed once per text: left as a projection, generated
+    # join code would evaluate it again for every matching overlap
+    return reads(spark, sf_dir).groupBy("doc_id", "read_id").agg(F.max("read_len").alias("read_len"))
 
 
 def paf(spark: SparkSession, sf_dir: str) -> DataFrame:
