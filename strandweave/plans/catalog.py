@@ -553,18 +553,28 @@ def _(spark, sf):
     return telomere.telomere_events(contig_asm(spark, sf).walks, telo_nodes(spark, sf)).select("walk_id", "lo", "motif", "hi")
 
 
-@query("telomere_chop")
+@query(
+    "telomere_chop",
+    """SELECT p.walk_id, c.pos - lo AS pos, node_id, ps AS "start", pe AS "end" FROM tpieces p JOIN cpieces c ON c.walk_id = p.old AND c.pos BETWEEN lo AND hi""",
+)
 def _(spark, sf):
     w, ref = chopped(spark, sf)
     return w.join(ref, "walk_id")
 
 
-@query("telomere_totals")
+@query(
+    "telomere_totals",
+    "SELECT count(*) FILTER (ps = '+') + count(*) FILTER (pe = '+') AS plus, count(*) FILTER (ps = '-') + count(*) FILTER (pe = '-') AS minus FROM tpieces",
+)
 def _(spark, sf):
     return telomere.motif_totals(chopped(spark, sf)[1])
 
 
-@query("node_class")
+@query(
+    "node_class",
+    """SELECT walk_id, CASE WHEN ps IS NOT NULL AND pe IS NOT NULL THEN 1 WHEN ps = '+' THEN 2 WHEN ps IS NOT NULL THEN 3
+    WHEN pe = '+' THEN 4 WHEN pe IS NOT NULL THEN 5 ELSE 0 END AS class FROM tpieces""",
+)
 def _(spark, sf):
     return chopped(spark, sf)[1].select("walk_id", sq.telomere_class("start", "end").alias("class"))
 

@@ -233,6 +233,25 @@ CTES["tnodes"] = """SELECT walk_id, start_node, arg_min(end_node, o) AS end_node
  JOIN cpieces a ON a.walk_id = t.walk_id AND t."start" >= a."offset" AND t."start" < a."offset" + a.piece_len
  JOIN cpieces b ON b.walk_id = t.walk_id AND t."end" - 1 >= b."offset" AND t."end" - 1 < b."offset" + b.piece_len) GROUP BY walk_id, start_node"""
 
+CTES["tev"] = """SELECT *, row_number() OVER (PARTITION BY walk_id ORDER BY lo) AS rn FROM (
+ SELECT s.walk_id, s.pos AS lo, t.motif, min(e.pos) AS hi FROM tnodes t JOIN cpieces s ON s.walk_id = t.walk_id AND s.node_id = t.start_node
+ JOIN cpieces e ON e.walk_id = t.walk_id AND e.node_id = t.end_node AND e.pos >= s.pos GROUP BY s.walk_id, s.pos, t.motif)"""
+CTES["tsize"] = "SELECT walk_id, count(*) AS n FROM cpieces GROUP BY walk_id"
+# one state row per walk and event: where the open piece begins, its motif, what was emitted
+CTES["tstate"] = """SELECT * FROM (WITH RECURSIVE st(walk_id, rn, bg, opened, done, plo, phi, ps, pe) AS (
+ SELECT walk_id, 0::BIGINT, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR FROM tsize
+ UNION ALL SELECT walk_id, rn, CASE act WHEN 1 THEN hi + 1 WHEN 3 THEN lo WHEN 4 THEN hi + 1 ELSE bg END,
+  CASE act WHEN 0 THEN opened WHEN 2 THEN motif WHEN 3 THEN motif END, CASE act WHEN 0 THEN done ELSE hi + 1 END,
+  CASE WHEN act IN (1, 3, 4) THEN bg END, CASE act WHEN 1 THEN hi WHEN 3 THEN lo - 1 WHEN 4 THEN hi END,
+  CASE WHEN act IN (3, 4) THEN opened END, CASE WHEN act IN (1, 4) THEN motif END FROM (
+  SELECT st.walk_id, e.rn, bg, opened, done, lo, hi, motif, CASE WHEN lo < done THEN 0 WHEN opened IS NULL AND lo > bg THEN 1
+   WHEN opened IS NULL THEN 2 WHEN opened = motif THEN 3 ELSE 4 END AS act FROM st JOIN tev e ON e.walk_id = st.walk_id AND e.rn = st.rn + 1))
+ SELECT * FROM st)"""
+CTES["tpieces"] = """SELECT row_number() OVER (ORDER BY old, lo) - 1 AS walk_id, old, lo, hi, ps, pe FROM (
+ SELECT walk_id AS old, plo AS lo, phi AS hi, ps, pe FROM tstate WHERE plo IS NOT NULL UNION ALL
+ SELECT s.walk_id, bg, n - 1, opened, NULL FROM (SELECT walk_id, arg_max(bg, rn) AS bg, arg_max(CASE WHEN opened IS NULL THEN '' ELSE opened END, rn) AS op FROM tstate GROUP BY walk_id) q
+ JOIN tsize s ON s.walk_id = q.walk_id, LATERAL (SELECT nullif(op, '') AS opened) WHERE bg < n)"""
+
 # --------------------------------------------------------------- scaffold, unchopped
 CTES["cends2"] = """SELECT walk_id, pos, node_id, pos < cutoff AS at_start, pos >= n - cutoff AS at_end FROM (
  SELECT contig_no AS walk_id, pos, node_id, n, greatest(1, floor(n / (1 / 0.01::DOUBLE)))::BIGINT AS cutoff FROM (
