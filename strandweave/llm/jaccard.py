@@ -16,9 +16,11 @@ A text's set holds its distinct 5-word shingles.  Sets A and B link when
   blocks (in one global order): a linked pair still shares one.  This removes blocks made
   of passages that very many documents carry, and loses no link.
 * Joining.  A block's members are paired with its smallest member only; the pairs pass
-  the bit sketch and are verified on whole sets.  What the verified links do not put into one
-  component yet, but shares a block, is then paired and verified as well, so the components
-  are exactly those of all links.
+  the bit sketch and are verified on whole sets.  Members of one block that are not in one
+  component yet are then compared by their sketches, in tiles of ``TILE`` members, so that only
+  pairs within the bound come out: first the ``NEAREST`` of each member in a few blocks, which
+  joins most families, then, with the components found by these, all pairs of all blocks.  The components are exactly
+  those of all links.
 
 Equal sets are one node from the start, so copies are never expanded into pairs.
 """
@@ -39,6 +41,10 @@ from strandweave.operators.graph import components
 
 NUMERATOR, DENOMINATOR = 80, 100
 BAND_SHIFT = 58  # the band sits in the top bits of a block key
+TILE = 512  # members of a block compared at once
+NEAREST = 2  # partners of each member, in the pass over its ``TRIED`` most shared blocks
+TRIED = 3
+SMALL = 16  # members of a block whose pairs are compared one by one
 
 
 def bands(n: int) -> list[int]:
@@ -61,18 +67,26 @@ def farthest(n: int) -> int:
 
 
 def sketch(u: np.ndarray) -> bytes:
-    """Parity bits of the set, a power of two of at least n and 64 bits."""
-    bits = max(64, 1 << (len(u) - 1).bit_length())
+    """Parity bits of the set, a power of two of at least 2n and 64 bits."""
+    bits = max(64, 1 << (2 * len(u) - 1).bit_length())
     parity = np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
 
 def hamming(a: bytes, b: bytes) -> int:
     """Distance of two sketches; the longer one is folded by XOR to the shorter's length."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
     if len(a) < len(b):
-        a, b = b, a
-    x = np.bitwise_xor.reduce(np.frombuffer(a, np.uint8).reshape(-1, len(b)), axis=0)
-    return int(np.bitwise_count(x ^ np.frombuffer(b, np.uint8)).sum())
+        a, b, x, y = b, a, y, x
+    half = len(a) * 8
+    while half > len(b) * 8:
+        half //= 2
+        x = (x >> half) ^ (x & ((1 << half) - 1))
+    return (x ^ y).bit_count()
+
+
+def sizes_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a, b) * DENOMINATOR >= np.maximum(a, b) * NUMERATOR
 
 
 def set_id(u: np.ndarray) -> int:
@@ -152,7 +166,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _near(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Pairs whose sizes and bit sketches allow a link."""
     na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-    keep = np.minimum(na, nb) * DENOMINATOR >= np.maximum(na, nb) * NUMERATOR
+    keep = sizes_fit(na, nb)
     sa, sb = batch.column("sa"), batch.column("sb")
     for i in np.flatnonzero(keep):
         keep[i] = hamming(sa[i].as_py(), sb[i].as_py()) * 9 <= na[i] + nb[i]
@@ -246,13 +260,95 @@ def _links(held: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     least = held.groupBy("key").agg(F.min("node").alias("a"))
     star = held.join(least, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
     links = _verify(star, nodes, texts)
+    tested = star
+    for most in (NEAREST, 0):
+        pairs = _apart(held, links, nodes, most)
+        if pairs is None:
+            break
+        pairs = shelve(pairs.join(tested, ["a", "b"], "left_anti"))
+        links = links.unionAll(_verify(pairs, nodes, texts))
+        tested = tested.unionAll(pairs)
+    return links
+
+
+def _apart(held: DataFrame, links: DataFrame, nodes: DataFrame, most: int) -> DataFrame | None:
+    """Pairs (a, b) of one block but two components that the sketches let link; None if no block has two.
+
+    With ``most``, only that many of each member's nearest partners in a tile, in its ``TRIED``
+    most shared blocks.
+    """
     label = components(links, "a", "b").select(F.col("node_id").alias("node"), "comp")
     placed = held.join(label, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    open_rows = shelve(placed.join(split, "key"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi")
+    rows = placed.join(split.select("key", "c", F.ceil(F.col("c") / TILE).cast("int").alias("tiles")), "key")
+    if most:
+        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "key"))
+        rows = rows.withColumn("r", rank).filter(F.col("r") <= TRIED)
+    open_rows = shelve(rows.select("key", "node", "comp", "tiles"))
     if open_rows.isEmpty():
-        return links
-    other = open_rows.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    cross = open_rows.join(other, "key").filter((F.col("comp") != F.col("comp_b")) & (F.col("node") < F.col("b")))
-    pairs = cross.select(F.col("node").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
-    return links.unionAll(_verify(pairs, nodes, texts))
+        return None
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    dealt = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("key", "node", "comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    full = dealt.join(nodes.select("node", "n", "sketch"), "node").select("key", "lo", "hi", "node", "comp", "n", "sketch")
+    grouped = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return grouped.mapInArrow(lambda batches: _near_in_groups(batches, most), "a long, b long").distinct()
+
+
+def _near_in_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """``near_pairs`` of each run of equal (key, lo, hi), a pair of tiles; the last run waits for its rest."""
+    held: pa.Table | None = None
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, lo, hi, node, comp, n = (table.column(c).to_numpy() for c in range(6))
+        bits = table.column(6)
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        first = np.flatnonzero(new)
+        size = np.diff([*first, len(key)])
+        found = [
+            near_pairs(node[a : a + g], comp[a : a + g], n[a : a + g], bits.slice(a, g).to_pylist(), most)
+            for a, g in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True)
+        ]
+        run = np.cumsum(new) - 1
+        small = size[run] <= SMALL
+        for lag in range(1, SMALL):
+            i = np.flatnonzero(small[:-lag] & (run[:-lag] == run[lag:]) & (comp[:-lag] != comp[lag:]))
+            i = i[sizes_fit(n[i], n[i + lag])]
+            i = [k for k in i.tolist() if hamming(bits[k].as_py(), bits[k + lag].as_py()) * 9 <= n[k] + n[k + lag]]
+            if i:
+                x, y = node[i], node[np.array(i) + lag]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+        a, b = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+        if not table.num_rows:
+            continue
+        key, lo, hi = (table.column(c).to_numpy() for c in range(3))
+        last = np.flatnonzero((key != key[-1]) | (lo != lo[-1]) | (hi != hi[-1]))
+        at = int(last[-1]) + 1 if len(last) else 0
+        if at:
+            yield from pairs(table.slice(0, at))
+        held = table.slice(at)
+    if held is not None and held.num_rows:
+        yield from pairs(held)
+
+
+def near_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[bytes], most: int) -> np.ndarray:
+    """Pairs (two rows of smaller and larger node) of two components within the sketches' bound."""
+    size = min(map(len, bits))
+    folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0) for x in bits])
+    folded = folded.view(np.uint64)
+    out = []
+    for i in range(len(node) - (0 if most else 1)):
+        rest = slice(0, None) if most else slice(i + 1, None)
+        distance = np.bitwise_count(folded[i] ^ folded[rest]).sum(axis=1, dtype=np.int64)
+        fits = (comp[rest] != comp[i]) & (distance * 9 <= n[rest] + n[i])
+        fits &= sizes_fit(n[rest], n[i])
+        j = np.flatnonzero(fits)
+        if most and len(j) > most:
+            j = j[np.argpartition(distance[j] / (n[rest][j] + n[i]), most)[:most]]
+        other = node[rest][j]
+        out.append(np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])]))
+    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
