@@ -111,14 +111,15 @@ def type_regions(regions: DataFrame, hits: DataFrame, motifs: tuple[str, str]) -
     The last base of a region is left out, as is done for its node.
     """
     m = len(motifs[0])
+    region = ["walk_id", "motif_no", "side", "start", "end"]  # an external list may hold several per side
     exact = hits.filter(F.col("word").isin(*motifs))
     counted = (
         exact.join(lookup_side(regions), "walk_id")
         .filter((F.col("at") >= F.col("start")) & (F.col("at") + m <= F.col("end") - 1))
-        .groupBy("walk_id", "motif_no", "side")
+        .groupBy(*region)
         .agg(F.count_if(F.col("word") == motifs[0]).alias("c1"), F.count_if(F.col("word") == motifs[1]).alias("c2"))
     )
-    joined = regions.join(counted, ["walk_id", "motif_no", "side"], "left")
+    joined = regions.join(counted, region, "left")
     c1, c2 = F.coalesce("c1", F.lit(0)), F.coalesce("c2", F.lit(0))
     return joined.select(*regions.columns, c1.alias("c1"), c2.alias("c2"), F.when(c1 > c2, "+").otherwise("-").alias("motif"))
 
@@ -134,7 +135,7 @@ def region_nodes(typed: DataFrame, placed: DataFrame) -> DataFrame:
     )
     points = typed.select(
         "walk_id",
-        F.struct("motif_no", F.when(F.col("side") == "start", 0).otherwise(1).alias("o")).alias("ord"),
+        F.struct("motif_no", F.when(F.col("side") == "start", 0).otherwise(1).alias("o"), F.col("start").alias("left")).alias("ord"),
         "motif",
         F.explode(ends).alias("p"),
     ).select("walk_id", "ord", "motif", "p.which", "p.at")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.sequence import reverse_complement, slice_length
 from strandweave.operators.numbering import lookup_side, running_sum_before
+from strandweave.sources.text import require
 
 LINE = 80
 POSITION_BUCKET = 1 << 16
@@ -88,13 +89,13 @@ def cut_pieces(located: DataFrame, sequences: DataFrame, chunk: int = 1 << 14) -
     """contig_id, offset, text for pieces (contig_id, offset, name, orient, skip, piece_len).
 
     ``skip`` bases of the oriented sequence are left out in front.  A long piece becomes
-    several rows of at most ``chunk`` bases.
+    several rows of at most ``chunk`` bases.  A name without sequence fails the query.
     """
     seqs = sequences.select("name", "seq")
     n = F.length("_o")
-    joined = located.join(seqs, "name").withColumn(
-        "_o", F.when(F.col("orient") == "+", F.col("seq")).otherwise(reverse_complement("seq"))
-    )
+    known = require(F.col("seq").isNotNull(), F.col("seq"), "a piece's read has no sequence")
+    joined = located.join(seqs, "name", "left").withColumn("seq", known)
+    joined = joined.withColumn("_o", F.when(F.col("orient") == "+", F.col("seq")).otherwise(reverse_complement("seq")))
     body = F.substring("_o", (F.col("skip") + 1).cast("int"), F.least(F.col("piece_len").cast("int"), n))
     split = joined.filter("piece_len > 0").select(
         "contig_id",

@@ -11,6 +11,7 @@ from strandweave.operators import contigs, decode, scaffold, telomere
 from strandweave.operators.kmers import TILE, frequency_tiles
 from strandweave.operators.walks import offsets, pieces, walk_lines
 from strandweave.session import cut
+from strandweave.sources.fasta import require_reads
 from strandweave.sources.gfa import Assembly
 
 
@@ -69,11 +70,9 @@ def chop_at_telomeres(asm: Assembly, walks: DataFrame, settings: Settings):
 
 
 def scaffold_sequences(asm: Assembly, graph: scaffold.ScaffoldGraph, reads: DataFrame) -> DataFrame:
-    """name, seq of the graph's nodes and of the ghosts."""
-    ghosts = graph.ghosts.select(F.col("read_id").alias("name")).distinct()
-    return asm.sequences.select("name", "seq").unionByName(
-        reads.select(F.col("read_id").alias("name"), "seq").join(ghosts, "name", "left_semi")
-    )
+    """name, seq of the graph's nodes and of the ghosts; a ghost without read fails the query."""
+    ghosts = require_reads(graph.ghosts.select("read_id").distinct(), reads)
+    return asm.sequences.select("name", "seq").unionByName(ghosts.select(F.col("read_id").alias("name"), "seq"))
 
 
 def postprocess(

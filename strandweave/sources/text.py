@@ -6,24 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with ``line_no``, an orderable struct.
+def read_lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
+    """Lines with ``line_no``, an orderable struct; blank lines only if asked for.
 
     Splits of one file may be read in any order, so the block start comes before the
     row id, which only grows within a split.
     """
-    return (
-        spark.read.text(path)
-        .select(
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias("line_no"),
-            "value",
-        )
-        .filter(F.length(F.trim("value")) > 0)
+    lines = spark.read.text(path).select(
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("line_no"),
+        "value",
     )
+    return lines if blank else lines.filter(F.length(F.trim("value")) > 0)
 
 
 def fields(lines: DataFrame) -> DataFrame:
