@@ -39,4 +39,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_binary_ids": lambda spark, sf: binary_ids(_documents(spark, sf), public_tokenizers.path(WORD_BPE)),
 }
 
-SQL: dict[str, str] = {}
+# The other queries have no SQL form (tokenizers, learned scores, alignment, test batteries) or
+# only one that is too slow on whole tables (all pairs of shingle sets).
+SQL: dict[str, str] = {
+    "op9_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0
+        ), l AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), r(vec_id, reached) AS (
+            SELECT vec_id, vec_id FROM embeddings
+            UNION
+            SELECT r.vec_id, l.y FROM r JOIN l ON r.reached = l.x
+        )
+        SELECT vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(reached)::BIGINT AS component_id, vec_id = min(reached) AS kept
+        FROM r LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x) USING (vec_id) GROUP BY vec_id""",
+}
