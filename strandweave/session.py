@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +66,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stack(tables: list[DataFrame], table: DataFrame, branches: int = 16) -> None:
+    """Append a table of equal schema; ``branches`` tables are rewritten as one.
+
+    Rounds that each leave a small table thus never make a plan with a branch per round.
+    """
+    tables.append(table)
+    if len(tables) >= branches:
+        tables[:] = [cut(reduce(DataFrame.unionByName, tables))]
