@@ -17,7 +17,7 @@ HEADLINE = [
     "reads_scan", "kmer_histogram", "kmer_solid_bounds", "seq_coverage", "paf_classify", "gfa_edges", "edge_similarity",
     "paf_accepted_raw", "hop_edges", "hop_ghosts", "degrees", "components", "contig_edges", "paf_accepted_contig",
     "walk_offsets", "walk_lines", "telomere_regions", "telomere_chop", "ghost_neighbours", "scaffold_edges",
-    "repetitive_ghosts", "edge_coverage", "scaffold_contigs", "scaffold_lines", "assembly_stats",
+    "repetitive_ghosts", "edge_coverage", "scaffold_contigs", "scaffold_lines", "assembly_stats", "gnn_scores", "greedy_walks",
 ]
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 # The IUPAC nucleotide codes and their complements.
 IUPAC = "ACGTMRWSYKVHDBNacgtmrwsykvhdbn"
@@ -56,10 +58,41 @@ def motif_count(seq: Column | str, motif: str) -> Column:
     return F.regexp_count(_col(seq), F.lit(motif)).cast("long")
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance by bit vectors.
+
+    Neighbouring cells of a column differ by -1, 0 or 1.  Two integers with a bit per row hold
+    the rises and falls of one column, so a column costs a few operations on them.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    full = (1 << len(b)) - 1
+    rows = {c: 0 for c in set(a)}
+    for c in set(b) & set(a):
+        rows[c] = int("".join("1" if x == c else "0" for x in reversed(b)), 2)
+    rises, falls, last, bottom = full, 0, len(b), len(b) - 1
+    for c in a:
+        equal = rows[c]
+        # rows that a diagonal step reaches without a cost, carried down runs of rises
+        level = ((((equal & rises) + rises) & full) ^ rises) | equal | falls
+        up, down = falls | (full ^ (level | rises)), rises & level
+        last += (up >> bottom) - (down >> bottom)
+        up, down = ((up << 1) | 1) & full, (down << 1) & full
+        rises, falls = down | (full ^ (equal | falls | up)), up & (equal | falls)
+    return last
+
+
+@F.pandas_udf(IntegerType())
+def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
 def overlap_similarity(src: Column | str, dst: Column | str, overlap: Column | str) -> Column:
     """1 - edit distance / overlap between the source's end and the target's start."""
     overlap = _col(overlap).cast("int")
-    distance = F.levenshtein(F.right(_col(src), overlap), F.left(_col(dst), overlap))
+    distance = _distances(F.right(_col(src), overlap), F.left(_col(dst), overlap))
     return F.lit(1.0) - distance / overlap
 
 

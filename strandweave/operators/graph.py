@@ -71,10 +71,10 @@ def jumped_over(walks: DataFrame, edges: DataFrame) -> DataFrame:
     return middle.select(F.explode(F.array(F.col("t"), complement_id("t"))).alias("node_id")).distinct()
 
 
-def prune_dead_ends(edges: DataFrame, first_ghost: int, max_rounds: int = 10_000) -> DataFrame:
+def prune_dead_ends(edges: DataFrame, first_ghost: int) -> DataFrame:
     """Drop ghosts (node id >= first_ghost) lacking an in or an out edge, to a fixpoint."""
     current = cut(edges)
-    for _ in range(max_rounds):
+    while True:
         ends = current.select(
             F.explode(
                 F.array(
@@ -93,21 +93,21 @@ def prune_dead_ends(edges: DataFrame, first_ghost: int, max_rounds: int = 10_000
         if dead.isEmpty():
             return current
         current = cut(remove_nodes(current, dead, "new_src", "new_dst"))
-    raise RuntimeError("pruning did not settle")
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node_id, comp (smallest node id of the weakly connected component).
 
     Each round contracts the graph: every node points to its smallest neighbour, labels
     are followed one step, and edges are relabelled and deduplicated, so the edge list
-    shrinks quickly, hubs included.
+    shrinks quickly, hubs included.  Each round takes a node at least from every component
+    that still has an edge, so the rounds come to an end.
     """
     work = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     nodes = work.select(F.explode(F.array("a", "b")).alias("node_id")).distinct()
     work = cut(work.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = cut(nodes.withColumn("comp", F.col("node_id")))
-    for _ in range(max_rounds):
+    while True:
         if work.isEmpty():
             return labels
         both = work.unionAll(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -129,4 +129,3 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         work = cut(
             moved.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         )
-    raise RuntimeError("components did not settle")

@@ -7,15 +7,20 @@ modulo 2^61-1, the smaller of both strands; windows with other letters have key
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strandweave.operators.numbering import running_sum_before
 from strandweave.session import cut
 
 TILE = 1024
+COMBINED = 1024  # tiles whose k-mers are counted together before the shuffle
 # Hash base and modulus of the k-mer key.
 KMER_BASE, KMER_MOD = 4, 2**61 - 1
 # A k-mer seen more often than this share of all occurrences is looked up by broadcast;
@@ -39,9 +44,8 @@ def tiles(seqs: DataFrame, ids: list[str], k: int, tile: int = TILE) -> DataFram
         "tile", F.col("tile").cast("long")
     )
     # one byte per base moves here, before windows multiply it: tiles of a long sequence
-    # leave the task that read it
-    width = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(width, *ids, "tile")
+    # leave the task that read it; AQE chooses how many partitions there are
+    return rows.hint("rebalance", *ids, "tile")
 
 
 def window_keys(text: bytes, k: int) -> np.ndarray:
@@ -90,12 +94,33 @@ def occurrences(seqs: DataFrame, ids: list[str], k: int, tile: int = TILE) -> Da
     return cuts.select(*ids, "tile", F.posexplode("keys").alias("off", "hash"))
 
 
+def key_counts(cuts: DataFrame, k: int, id_col: str | None = None) -> DataFrame:
+    """hash, n: known keys with their number, combined over up to ``COMBINED`` tiles.
+
+    With ``id_col`` the column comes first and each tile is counted for itself.
+    """
+    named = [cuts.schema[id_col]] if id_col else []
+    schema = StructType([*named, StructField("hash", LongType()), StructField("n", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, COMBINED):
+                part = batch.slice(at, COMBINED)
+                keys = [window_keys(t.as_py().encode("ascii", "replace"), k) for t in part.column(part.num_columns - 1)]
+                counted = [np.unique(x[x >= 0], return_counts=True) for x in (keys if id_col else [np.concatenate(keys)])]
+                columns = [pa.array(np.concatenate([c[i] for c in counted]).astype(np.int64)) for i in range(2)]
+                if id_col:
+                    row = np.repeat(np.arange(len(counted)), [len(c[0]) for c in counted])
+                    columns.insert(0, part.column(0).take(pa.array(row)))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return cuts.select(*([id_col] if id_col else []), "text").mapInArrow(run, schema)
+
+
 def count_kmers(seqs: DataFrame, k: int, id_col: str = "read_id") -> DataFrame:
     """kmers(hash, freq) over both strands; partial counts precede the shuffle."""
-    seen = tiles(seqs.filter(F.length("seq") >= k), [id_col], k).select(
-        F.explode(kmer_keys("text", k)).alias("hash")
-    )
-    return seen.filter("hash >= 0").groupBy("hash").agg(F.count(F.lit(1)).alias("freq"))
+    seen = key_counts(tiles(seqs.filter(F.length("seq") >= k), [id_col], k), k)
+    return seen.groupBy("hash").agg(F.sum("n").alias("freq"))
 
 
 def spectrum(kmers: DataFrame) -> DataFrame:
@@ -179,28 +204,29 @@ def with_frequency(occ: DataFrame, solid_kmers: DataFrame, counts: DataFrame | N
     return joined.withColumn("freq", F.coalesce("freq", "_hot_freq")).drop("_key", "_salt", "_hot", "_hot_freq")
 
 
-def sequence_coverage(seqs: DataFrame, id_col: str, k: int, solid_kmers: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+def sequence_coverage(seqs: DataFrame, id_col: str, k: int, solid_kmers: DataFrame) -> DataFrame:
     """id, cov_sum, missed, total, avg_cov over all windows of each sequence.
 
-    A sequence shorter than k counts as one missed window.
+    A sequence shorter than k counts as one missed window.  The number of windows follows from
+    the length, so only hits are joined: an inner join, which a runtime filter of the solid
+    k-mers can thin out before the shuffle.
     """
+    seen = key_counts(tiles(seqs.filter(F.length("seq") >= k), [id_col], k), k, id_col)
     found = (
-        with_frequency(occurrences(seqs, [id_col], k), solid_kmers, counts)
+        seen.join(solid_kmers.select("hash", "freq"), "hash")
         .groupBy(id_col)
-        .agg(
-            F.coalesce(F.sum("freq"), F.lit(0)).alias("cov_sum"),
-            (F.count(F.lit(1)) - F.count("freq")).alias("missed"),
-            F.count(F.lit(1)).alias("total"),
-        )
+        .agg(F.sum(F.col("n") * F.col("freq")).alias("cov_sum"), F.sum("n").alias("_hits"))
     )
-    every = seqs.select(id_col).join(found, id_col, "left").select(
+    total = F.greatest(F.length("seq").cast("long") - k + 1, F.lit(1).cast("long"))
+    every = seqs.select(id_col, total.alias("total")).join(found, id_col, "left")
+    hits = F.coalesce("_hits", F.lit(0))
+    return every.select(
         id_col,
         F.coalesce("cov_sum", F.lit(0)).alias("cov_sum"),
-        F.coalesce("missed", F.lit(1)).alias("missed"),
-        F.coalesce("total", F.lit(1)).alias("total"),
+        (F.col("total") - hits).alias("missed"),
+        "total",
+        F.when(hits > 0, F.col("cov_sum") / hits).alias("avg_cov"),
     )
-    hits = F.col("total") - F.col("missed")
-    return every.withColumn("avg_cov", F.when(hits > 0, F.col("cov_sum") / hits))
 
 
 def frequency_tiles(seqs: DataFrame, id_col: str, k: int, solid_kmers: DataFrame, counts: DataFrame | None = None, tile: int = TILE) -> DataFrame:

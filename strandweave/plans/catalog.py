@@ -253,7 +253,7 @@ def _(spark, sf):
 
 @query("kmer_histogram", "SELECT freq, n FROM histo")
 def _(spark, sf):
-    return kmers.spectrum(kmers.count_kmers(views.reads(spark, sf), K))
+    return kmers.spectrum(counts(spark, sf))
 
 
 @query("kmer_solid_bounds", "SELECT cutoff, round(average, 9) AS average, nearest, lower, upper FROM bounds")
@@ -275,7 +275,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     seqs = reads(spark, sf).select("read_id", "seq")
-    cov = kmers.sequence_coverage(seqs, "read_id", K, solid(spark, sf), counts(spark, sf))
+    cov = kmers.sequence_coverage(seqs, "read_id", K, solid(spark, sf))
     return cov.withColumn("avg_cov", F.round("avg_cov", 6))
 
 
@@ -736,8 +736,7 @@ def _(spark, sf):
 @stage
 def scored_edges(spark, sf):
     asm = raw_asm(spark, sf)
-    weights = gnn.random_weights(hidden=16, inner=8, score=16, layers=2)
-    scores = gnn.edge_scores(asm.nodes, asm.edges, weights)
+    scores = gnn.edge_scores(asm.nodes, asm.edges, gnn.random_weights())
     return cut(asm.edges.join(scores.select("edge_id", "score"), "edge_id"))
 
 
@@ -748,4 +747,4 @@ def _(spark, sf):
 
 @query("greedy_walks")
 def _(spark, sf):
-    return baseline.greedy_walks(scored_edges(spark, sf), raw_asm(spark, sf).nodes, nb_paths=20, len_threshold=2, min_length=100)
+    return baseline.greedy_walks(scored_edges(spark, sf), raw_asm(spark, sf).nodes)

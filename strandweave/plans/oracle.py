@@ -67,7 +67,7 @@ CTES["segs"] = """SELECT utg, 2 * (row_number() OVER (ORDER BY utg) - 1) AS real
  FROM (SELECT utg, string_agg(oseq, '' ORDER BY doc_id) AS seq FROM members GROUP BY utg)"""
 CTES["rawlinks"] = f"""SELECT o_orderkey * 2 + m AS ln, CASE WHEN m = 0 THEN s ELSE xor(d, 1) END AS s,
  CASE WHEN m = 0 THEN d ELSE xor(s, 1) END AS d, ol FROM (
- SELECT o_orderkey, {_node('sa.real_id', 'o1')} AS s, {_node('sb.real_id', 'o2')} AS d, 1 + o_orderkey % least(40, sa.n, sb.n) AS ol
+ SELECT o_orderkey, {_node('sa.real_id', 'o1')} AS s, {_node('sb.real_id', 'o2')} AS d, 1 + o_orderkey % least(sa.n, sb.n) AS ol
  FROM (SELECT o_orderkey, o_custkey * 2 // 3 AS a, o_orderkey // 15 AS b, CASE WHEN o_orderstatus = 'F' THEN '+' ELSE '-' END AS o1,
    CASE WHEN substr(o_orderpriority, 1, 1) <= '3' THEN '+' ELSE '-' END AS o2 FROM orders)
  JOIN members ma ON ma.doc_id = a JOIN members mb ON mb.doc_id = b

@@ -179,9 +179,14 @@ def with_node_sequence(df: DataFrame, node: str, out: str, nodes: DataFrame, seq
 
 
 def edge_similarity(edges: DataFrame, nodes: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Add ol_sim.  Only the overlapping ends travel through the join, not whole sequences."""
+    """Add ol_sim.  Only the overlapping ends travel through the join, not whole sequences.
+
+    An edge and its reverse complement have one similarity, which is computed once.
+    """
     real = sequences.join(nodes.filter("orient = '+'").select("name", "node_id"), "name")
-    ends = edges.select(
+    same = F.least(F.struct("src", "dst"), F.struct(complement_id("dst").alias("src"), complement_id("src").alias("dst")))
+    paired = edges.withColumn("_same", same)
+    ends = paired.select("_same.src", "_same.dst", "ol_len").distinct().select(
         "src",
         "dst",
         "ol_len",
@@ -203,8 +208,12 @@ def edge_similarity(edges: DataFrame, nodes: DataFrame, sequences: DataFrame) ->
 
     ends = cut_end(ends, "src_real", "src", True, "_a")
     ends = cut_end(ends, "dst_real", "dst", False, "_b")
-    sims = ends.select("src", "dst", overlap_similarity("_a", "_b", "ol_len").alias("ol_sim"))
-    return edges.join(sims, ["src", "dst"])
+    # the distance costs far more than moving its two texts
+    spread = ends.select("src", "dst", "ol_len", "_a", "_b").hint("rebalance")
+    sims = spread.select(
+        F.struct("src", "dst").alias("_same"), "ol_len", overlap_similarity("_a", "_b", "ol_len").alias("ol_sim")
+    )
+    return paired.join(sims, ["_same", "ol_len"]).select(*edges.columns, "ol_sim")
 
 
 def number_edges(edges: DataFrame) -> DataFrame:

@@ -143,7 +143,7 @@ def raw_gfa_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(left, "a")
         .join(right, "b")
         .filter("u1 <> u2")
-        .withColumn("ol", F.expr("1 + o_orderkey % least(40, n1, n2)"))
+        .withColumn("ol", F.expr("1 + o_orderkey % least(n1, n2)"))
     )
     both = links.select(
         "o_orderkey",

@@ -125,3 +125,25 @@ def test_hops_reach_outwards_and_stop(spark):
     assert (1, "x", "+", "in", "a", "+") in seen and (1, "x", "-", "out", "a", "-") in seen
     assert (1, "y", "+", "out", "b", "+") in seen and (2, "z", "+", "in", "y", "+") in seen and (3, "w", "+", "in", "z", "+") in seen
     assert {(r.hop, r.src_read, r.dst_read) for r in edges.collect()} == {(2, "x", "y"), (2, "y", "x")}
+
+
+def test_edit_distance_against_a_table():
+    import random
+
+    from strandweave.functions.sequence import edit_distance
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            above, row[0] = row[:], i + 1
+            for j, y in enumerate(b):
+                row[j + 1] = min(above[j] + (x != y), row[j] + 1, above[j + 1] + 1)
+        return row[-1]
+
+    rng = random.Random(4)
+    for _ in range(400):
+        a = "".join(rng.choice("ACGT") for _ in range(rng.randrange(90)))
+        b = "".join(rng.choice("ACGN") for _ in range(rng.randrange(90)))
+        near = a[: rng.randrange(90)] + b[:3] + a[rng.randrange(90) :]
+        assert edit_distance(a, b) == table(a, b)
+        assert edit_distance(a, near) == edit_distance(near, a) == table(a, near)
