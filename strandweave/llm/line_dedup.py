@@ -8,7 +8,12 @@
 * Each pair is aligned by patience diff on line hashes: lines that occur once on both sides
   (else the k-th occurrence with the k-th) are put in longest increasing order, the gaps
   between are aligned the same way, and ends grow over equal lines.
-* Aligned blocks of ``MIN_WORDS`` words or more are cut from the later document.
+* One alignment keeps one order, so it may leave out passages that moved, that are repeated or that
+  another anchor shuts out.  Where a stretch of shared lines is not wholly aligned, every
+  common run of the pair is searched, whatever its place, by the sorted suffixes of both.
+* Common runs of ``MIN_WORDS`` words or more are cut from the later document, all of them and
+  wholly.  What follows a shared seed only in a holder that is not its earliest, and has fewer
+  words itself, stays.
 
 The earliest document with a line never loses it: a line goes only where an earlier document
 holds the same line.  Documents are ordered by doc_id, null last, then by a hash of the text.
@@ -88,17 +93,60 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def _stretches(held: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of each stretch of true values."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], held, [False]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def longest_runs(a: list[int], b: list[int]) -> np.ndarray:
+    """For each line of ``b``, how many lines from it on stand in a row somewhere in ``a``."""
+    n, total = len(a), len(a) + 1 + len(b)
+    code = np.unique(np.array([*a, *b], np.uint64), return_inverse=True)[1] + 1
+    # ranks of the runs of 1, 2, 4, ... lines; 0 parts the two sides, -1 is behind the end
+    ranks, span = [np.concatenate([code[:n], [0], code[n:]])], 1
+    while span < min(n, len(b)):
+        behind = np.full(total, -1)
+        behind[: max(0, total - span)] = ranks[-1][span:]
+        ranks.append(np.unique(ranks[-1] * (total + 2) + behind + 1, return_inverse=True)[1])
+        span *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    mine = order < n
+    before = np.maximum.accumulate(np.where(mine, np.arange(total), -1))
+    after = np.minimum.accumulate(np.where(mine, np.arange(total), total)[::-1])[::-1]
+    ranks = [np.append(r, -1) for r in ranks]
+    longest = np.zeros(total, np.int64)
+    for near in (before, after):  # the longest common beginning is with a neighbour in the order
+        at = np.flatnonzero((near >= 0) & (near < total) & ~mine)
+        x, y = order[at], order[near[at]]
+        start = x.copy()
+        for k in range(len(ranks) - 1, -1, -1):
+            step = np.where(ranks[k][x] == ranks[k][y], 1 << k, 0)
+            x, y = x + step, y + step
+        longest[start] = np.maximum(longest[start], x - start)
+    return longest[n + 1 :]
+
+
 def common_blocks(a: list[int], b: list[int], words: list[int], least: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Ranges of ``b`` (first, end) whose lines are aligned in a row and hold ``least`` words."""
-    blocks, run = [], []
+    """Ranges of ``b`` (first, end) of the lines in runs that also stand in ``a`` and hold ``least`` words."""
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    cut = np.zeros(len(b), bool)
+    run = []
     for pair in [*patience(a, b), (-9, -9)]:
         if run and pair != (run[-1][0] + 1, run[-1][1] + 1):
             first, end = run[0][1], run[-1][1] + 1
-            if sum(words[first:end]) >= least:
-                blocks.append((first, end))
+            cut[first:end] |= total[end] - total[first] >= least
             run = []
         run.append(pair)
-    return blocks
+    known = set(a)
+    shared = _stretches(np.array([x in known for x in b], bool))
+    if not all(cut[i:j].all() for i, j in shared if total[j] - total[i] >= least):
+        first = np.arange(len(b))
+        end = first + longest_runs(a, b)
+        good = total[end] - total[first] >= least
+        depth = np.bincount(first[good], minlength=len(b) + 1) - np.bincount(end[good], minlength=len(b) + 1)
+        cut |= np.cumsum(depth)[:-1] > 0
+    return _stretches(cut)
 
 
 def _line_table(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -124,8 +172,9 @@ def seeds(lines: np.ndarray, words: np.ndarray, least: int = MIN_WORDS) -> np.nd
     start = np.flatnonzero(words)
     end = np.searchsorted(total, total[start] + least)
     start, end = start[end <= len(words)], end[end <= len(words)]
-    power = np.multiply.accumulate(np.concatenate([[1], np.full(len(lines), _ODD)]).astype(np.uint64))
-    inverse = np.multiply.accumulate(np.concatenate([[1], np.full(len(lines), pow(int(_ODD), -1, 2**64), np.uint64)]).astype(np.uint64))
+    power, inverse = np.full((2, len(lines) + 1), 1, np.uint64)
+    power[1:], inverse[1:] = _ODD, pow(int(_ODD), -1, 2**64)
+    power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines * power[:-1])])
     return np.unique(mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64)))
 

@@ -180,6 +180,41 @@ def test_patience_keeps_order():
     assert line_dedup.common_blocks([1, 2, 3, 4, 5], [9, 2, 3, 4, 8, 5], [10] * 6) == [(1, 4)]
 
 
+def test_seeds_do_not_depend_on_the_place():
+    rng = np.random.default_rng(3)
+    for shift in range(30):
+        lines, words = rng.integers(0, 2**63, 12 + shift, dtype=np.uint64), rng.integers(0, 15, 12 + shift)
+        here, there = line_dedup.seeds(lines[shift:], words[shift:]), line_dedup.seeds(lines, words)
+        assert set(here.tolist()) <= set(there.tolist())
+        assert len(there) == sum(w > 0 and words[i:].sum() >= 20 for i, w in enumerate(words))
+
+
+def test_line_dedup_cuts_every_shared_run(spark):
+    rng = random.Random(11)
+    p, q, x, y = (" ".join(prose(rng, 60)) for _ in range(4))
+    tail = " ".join(prose(rng, 5))
+    pairs = {  # earlier text, later text, lines that the later one loses
+        "blank line": ([p, "", x], [y, "", p], "2:3"),
+        "heading": ([p, "Related", x], [y, "Related", p], "2:3"),
+        "crossing": ([p, q, x], [y, q, p], "1:3"),
+        "twice": ([p, x], [p, y, p], "0:1,2:3"),
+        "tail": ([p, x, p, tail], [p, tail], "0:2"),
+    }
+    for name, (a, b, removed) in pairs.items():
+        rows = {r["doc_id"]: r for r in line_dedup.line_report(frame(spark, ["\n".join(a), "\n".join(b)])).collect()}
+        assert (rows[0]["removed"], rows[1]["removed"]) == ("", removed), name
+    for _ in range(1500):
+        a, b = ([rng.randrange(rng.choice([2, 6])) for _ in range(rng.randrange(20))] for _ in range(2))
+        words = [rng.randrange(12) for _ in range(6)]
+        want = set()
+        for i in range(len(b)):
+            for j in range(i + 1, len(b) + 1):
+                if sum(words[h] for h in b[i:j]) >= 20 and any(a[k : k + j - i] == b[i:j] for k in range(len(a))):
+                    want |= set(range(i, j))
+        got = line_dedup.common_blocks(a, b, [words[h] for h in b])
+        assert {k for i, j in got for k in range(i, j)} == want
+
+
 def test_embedding_links(spark):
     g = np.random.default_rng(0)
     v = g.normal(size=(160, 24))
