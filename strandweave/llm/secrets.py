@@ -1,7 +1,8 @@
 """Secret scans by patterns and a randomness test battery (operator 5), DataFrame functions only.
 
-Patterns give the base spans.  Other long runs of key characters are candidates; for each the
-smallest encoding that holds it is inferred, and three tests ask whether its symbols could be drawn
+Patterns give the base spans.  Other long runs of key characters are candidates, digits or letters
+alone included; for each the smallest encoding that holds it is inferred (keys without a digit
+have encodings of their own, so that words do not crowd the bands of the others), and three tests ask whether its symbols could be drawn
 evenly at random from that alphabet: chi-squared for uniformity, the runs test for symbols of
 the alphabet's halves, and the lag-one serial correlation.  Fisher's method combines the
 three p-values into one.
@@ -35,8 +36,12 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 ALPHABETS = {
     "decimal": "0123456789",
     "hex": "0123456789abcdef",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "letters64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 BINS = 200
@@ -60,8 +65,12 @@ def with_tests(df: DataFrame) -> DataFrame:
     encoding = (
         F.when(F.col("_core").rlike("^[0-9]+$"), "decimal")
         .when(F.col("_core").rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
+        .when(F.col("_core").rlike("^[a-z]+$"), "lower")
+        .when(F.col("_core").rlike("^[A-Z]+$"), "upper")
+        .when(F.col("_core").rlike("^[A-Za-z]+$"), "letters")
         .when(F.col("_core").rlike("^[A-Z2-7]+$"), "base32")
         .when(F.col("_core").rlike("^[A-Za-z0-9]+$"), "base62")
+        .when(F.col("_core").rlike("^[A-Za-z+/]+$"), "letters64")
         .otherwise("base64")
     )
     alphabet = F.lit(None).cast("string")
@@ -128,7 +137,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     placed = shelve(placed.select("row", "doc_id", "ord", "start", "end", "kept", "key"))
     least = F.element_at(F.create_map(*[x for kind, n in LEAST.items() for x in (F.lit(ORDER.index(kind)), F.lit(n))]), F.col("ord"))
     base = placed.filter("ord < 3").filter(F.col("kept") >= least).select("row", "start", "ord", "end")
-    candidate = placed.filter("ord = 3").filter(F.col("key").rlike("[0-9]") & F.col("key").rlike("[A-Za-z]"))
+    candidate = placed.filter("ord = 3")
     tested = with_tests(candidate.select("row", "start", "ord", "end", "key")).filter("n_symbols >= 16")
     tested = tested.withColumn("band", F.floor(F.log2(F.col("n_symbols") / 16.0)).cast("int"))
     tested = shelve(tested.withColumn("bin", F.least(F.floor(F.col("p_random") * BINS), F.lit(BINS - 1)).cast("int")).drop("key"))

@@ -131,6 +131,19 @@ def test_random_keys_stand_out(spark):
     assert len(hit & set(range(60))) >= 50 and not hit - set(range(60))
 
 
+def test_keys_of_digits_or_letters_alone_are_tested(spark):
+    rng = random.Random(5)
+    sets = {"decimal": ("decimal", 22), "lower": ("lower", 32), "upper": ("upper", 32), "letters": ("letters", 24), "letters64": ("letters64", 24), "base32": ("base32", 32)}
+    keys = ["".join(rng.choice(secrets.ALPHABETS[a]) for _ in range(n)) for a, n in sets.values() for _ in range(60)]
+    words = ["".join(rng.choice(WORDS) for _ in range(12)) for _ in range(60)] + ["-".join(rng.choice(WORDS) for _ in range(6)) for _ in range(60)] + ["1234567890" * 2 + str(k) for k in range(60)]
+    rows = secrets.secret_report(frame(spark, [f"x {k} y" for k in keys + words])).collect()
+    hit = {r["doc_id"] for r in rows if r["n_random"]}
+    assert [name for k, name in enumerate(sets) if len(hit & set(range(60 * k, 60 * k + 60))) < 50] == []
+    assert len(hit - set(range(len(keys)))) <= 0.1 * len(hit)
+    ends = secrets.with_tests(spark.createDataFrame([(x,) for x in ("0" * 20, "a" * 20, "Z" * 20, "-" * 20)], "key string")).collect()
+    assert [r["encoding"] for r in ends] == ["decimal", "hex", "upper", "letters64"] and max(r["p_random"] for r in ends) < 0.001
+
+
 def test_decontamination(spark):
     rng = random.Random(1)
     vocabulary = [f"w{i}" for i in range(3000)]
