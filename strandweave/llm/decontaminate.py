@@ -6,6 +6,10 @@ are hashed under every mask; equal hashes name a diagonal (text word minus item
 the overlap along it is verified word by word: the best stretch, a match counting 1 and a
 substitution -2, must hold ``enough(item)`` equal words.
 
+The masks miss no such stretch: each stretch that ``enough`` accepts, whatever the places
+of its substitutions, has a window inside it whose kept words are all equal.  ``SHORT_MASKS`` add
+the windows that items of 6 to 12 words need; the tests enumerate the stretches.
+
 Benchmark items are taken in blocks of about ``BLOCK_WORDS`` words, by a hash.  One block's
 index is what the tasks receive, so its size is bounded whatever the benchmark's; each block
 takes one pass over the texts, which are neither shuffled nor shortened.
@@ -23,8 +27,11 @@ from pyspark.sql import functions as F
 from strandweave.llm.tables import map_arrow
 from strandweave.llm.wordhash import COMBINE, slices, text_bytes, words
 
-# Fixed masks: six of up to eleven words each.
-MASKS = ("111111", "1101100101", "1010110011", "10101010101", "11001001011")
+# Fixed masks: six of up to twelve words each.
+MASKS = ("111111", "1101100101", "1010110011", "10101010101", "11001001011", "11110101", "100011000111")
+# Five words each, for items of up to SHORT words only.
+SHORT_MASKS = ("11111", "110111", "11100011")
+SHORT = 12
 SHORTEST = 6  # words of an item; shorter ones are no evidence
 BLOCK_WORDS = 400_000
 FILTER_BITS = 24
@@ -44,19 +51,15 @@ class Index:
         self.names = [name for name, _ in items]
         length = np.diff(first)
         self.first, self.last = first[:-1], first[1:]
-        self.masks = [np.flatnonzero(np.array(list(m)) == "1") for m in MASKS]
-        # an item that some mask does not fit in is met by its whole length
-        longest = max(len(m) for m in MASKS)
-        whole = sorted({int(n) for n in length if SHORTEST <= n < longest})
-        self.masks += [np.arange(n) for n in whole]
+        short = bool(((length >= SHORTEST) & (length <= SHORT)).any())
+        self.masks = [np.flatnonzero(np.array(list(m)) == "1") for m in (*MASKS, *(SHORT_MASKS if short else ()))]
         item = np.repeat(np.arange(len(items)), length)
         keys, places = [], []
         for k in range(len(self.masks)):
             at, key = self.seeds(self.words, item, k)
-            if k >= len(MASKS):  # of items of just this length
-                mine = length[item[at]] == len(self.masks[k])
-                at, key = at[mine], key[mine]
             fits = length[item[at]] >= SHORTEST
+            if k >= len(MASKS):
+                fits &= length[item[at]] <= SHORT
             keys.append(key[fits])
             places.append(at[fits])
         key, place = np.concatenate(keys), np.concatenate(places)

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables, with nulls, repeats, long texts and empty tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -169,6 +170,29 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).collect() == [] == decontaminate.leaks(frame(spark, []), bench).collect()
 
 
+def best_stretch(pattern):
+    """(first, end) of the stretch with the highest score, a 1 counting 1 and a 0 -2."""
+    score = np.concatenate([[0], np.cumsum(np.where(pattern, 1, -2))])
+    end = int((score - np.minimum.accumulate(score)).argmax())
+    return int(score[: end + 1].argmin()), end
+
+
+def test_masks_meet_every_overlap_that_is_enough():
+    rng = random.Random(12)
+    for n in [*range(6, 14), 16, 22, 27, 36]:
+        patterns = itertools.product([True, False], repeat=n) if n <= 13 else ([rng.random() < rng.choice([0.7, 0.8]) for _ in range(n)] for _ in range(6000))
+        if n == 16:
+            patterns = ([k not in gone for k in range(n)] for gone in itertools.combinations(range(n), 4))
+        if n in (22, 27):
+            patterns = [*patterns, [c == "1" for c in {22: "1111101110001111011111", 27: "111101110011110100111011111"}[n]]]
+        patterns = np.array(list(patterns))
+        want = {i for i, p in enumerate(patterns) for a, b in [best_stretch(p)] if p[a:b].sum() >= decontaminate.enough(n)}
+        index = decontaminate.Index([(1, " ".join(f"w{k}" for k in range(n)))])
+        hashes = np.where(patterns, index.words, np.uint64(7)).ravel()
+        got = {row[0] for row in index.overlaps(hashes, np.arange(len(patterns) + 1) * n)}
+        assert want and got == want, (n, len(want), len(want - got))
+
+
 def test_line_dedup(spark):
     rng = random.Random(6)
     passage = lined(prose(rng, 60))
