@@ -22,13 +22,17 @@ def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id.
+    """One row of each group of near copies: the one with the smallest id, null last.
 
-    Rows of one id and rows with a null id stay together with their component's id.
+    The rows are numbered before, so that rows with a null id and rows of one id are told apart;
+    among rows of one id the hash of the text decides, then the number.
     """
-    groups = jaccard.jaccard_components(docs)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows = shelve(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = jaccard.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.xxhash64("text").alias("text_hash"), "_row")
+    named = groups.join(rows.select("_row", order.alias("first")), "_row")
+    stay = named.groupBy("component_id").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(stay, "_row", "left_semi").select(docs.columns)
 
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -320,3 +320,15 @@ def test_pipeline_stages_keep_columns(spark):
     ids = {r["doc_id"] for r in rest.select("doc_id").collect()}
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in rows} == ids and 100 < len(ids) < 200
+
+
+def test_near_copies_go_by_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    a, b, c, d = (" ".join(prose(rng, 80)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (7, c), (8, c), (8, d), (9, d), (5, b), (6, None), (4, ""), (3, "one two"), (3, "one two")]
+    docs = frame(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3)
+    kept = corpus_pipeline.near_copies_out(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, [(None, a), (5, b), (7, c), (8, d), (6, None), (4, ""), (3, "one two")]))
