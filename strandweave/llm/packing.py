@@ -138,7 +138,9 @@ class Plan:
     def best_fit(self) -> None:
         """What is left, longest first, each time into the smallest room that holds it."""
         for length in sorted(self.left, reverse=True):
-            for room in sorted(r for r in self.gaps if r >= length):
+            rooms = sorted(r for r in self.gaps if r >= length)
+            while rooms:
+                room = heapq.heappop(rooms)
                 while room >= length and self.left.get(length):
                     # one room after the other, from the tightest; a filled room may take more of them
                     groups = self.gaps.get(room)
@@ -153,7 +155,13 @@ class Plan:
                         self.put(length, first, k, self.capacity - room + j * length)
                     if k < n:
                         groups.append((first + k, n - k))
-                    self.leave(room - per * length, first, k)
+                    rest = room - per * length
+                    self.leave(rest, first, k)
+                    if rest >= length:  # it took fewer than fit: the next to visit
+                        heapq.heappush(rooms, rest)
+                        if groups:
+                            heapq.heappush(rooms, room)
+                        break
                 if not self.left.get(length):
                     break
             while self.left.get(length):
