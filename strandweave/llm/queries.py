@@ -12,6 +12,7 @@ from strandweave.llm.decontaminate import leaks
 from strandweave.llm.embedding_dedup import embedding_components
 from strandweave.llm.jaccard import jaccard_components
 from strandweave.llm.line_dedup import line_report
+from strandweave.llm.mixing import mix
 from strandweave.llm.packing import pack_digest
 from strandweave.llm.quality import quality_scores
 from strandweave.llm.secrets import secret_report
@@ -37,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": lambda spark, sf: jaccard_components(_documents(spark, sf)),
     "op9_embedding_dedup": lambda spark, sf: embedding_components(read(spark, sf, "embeddings")),
     "op10_binary_ids": lambda spark, sf: binary_ids(_documents(spark, sf), public_tokenizers.path(WORD_BPE)),
+    "op12_mixing": lambda spark, sf: mix(_documents(spark, sf)),
 }
 
 # The other queries have no SQL form (tokenizers, learned scores, alignment, test batteries) or
