@@ -15,7 +15,9 @@ from strandweave.llm.line_dedup import line_report
 from strandweave.llm.mixing import mix
 from strandweave.llm.packing import pack_digest
 from strandweave.llm.quality import quality_scores
+from strandweave.llm.search import search
 from strandweave.llm.secrets import secret_report
+from strandweave.llm.spelling import spelling_variants
 from strandweave.llm.tables import read
 from strandweave.llm.token_counts import token_counts
 from strandweave.llm.toxicity import toxicity_scores
@@ -38,7 +40,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": lambda spark, sf: jaccard_components(_documents(spark, sf)),
     "op9_embedding_dedup": lambda spark, sf: embedding_components(read(spark, sf, "embeddings")),
     "op10_binary_ids": lambda spark, sf: binary_ids(_documents(spark, sf), public_tokenizers.path(WORD_BPE)),
+    "op11_search": lambda spark, sf: search(_documents(spark, sf), read(spark, sf, "benchmark")),
     "op12_mixing": lambda spark, sf: mix(_documents(spark, sf)),
+    "op13_spelling": lambda spark, sf: spelling_variants(_documents(spark, sf)),
 }
 
 # The other queries have no SQL form (tokenizers, learned scores, alignment, test batteries) or
@@ -58,4 +62,21 @@ SQL: dict[str, str] = {
         )
         SELECT vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(reached)::BIGINT AS component_id, vec_id = min(reached) AS kept
         FROM r LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x) USING (vec_id) GROUP BY vec_id""",
+    "op11_search": r"""
+        WITH t AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+        ), d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id
+        ), g AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM d
+        ), m AS (SELECT doc_id, 100 - 90 + (90 * n * nn) // ll AS m FROM d, g
+        ), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term
+        ), w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, g GROUP BY term, nn
+        ), q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), s AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+        )
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
+        ) WHERE rank <= 10""",
 }
