@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from strandweave.functions.overlap import classify, twin_rows
 from strandweave.operators import baseline, contigs, gnn, graph, hops, kmers, overlaps, scaffold, telomere, walks
 from strandweave.plans import oracle
 from strandweave.plans.postprocess import KmerSettings, Settings, TelomereScan, postprocess
-from strandweave.session import cut, tune
+from strandweave.session import checkpoint_dir, cut, tune
 from strandweave.sources import fasta, gfa, reports
 from strandweave.sources.paf import parse_paf
 
@@ -69,6 +70,36 @@ def paf_rows(spark, sf):
     return cut(parse_paf(views.paf_lines(spark, sf)))
 
 
+def folder(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@stage
+def blocked_reads(spark, sf):
+    path = folder(spark, "blocked")
+    fasta.write_blocked(reads(spark, sf), path)
+    return path
+
+
+@stage
+def indexed_reads(spark, sf):
+    """Indexes of two sets of FASTA files: accurate and long reads."""
+    out = []
+    for name, rows in (("accurate", views.fastq_lines(spark, sf)), ("long", views.long_read_lines(spark, sf))):
+        files, index = folder(spark, name), folder(spark, f"{name}-index")
+        rows.write.text(files)
+        fasta.save_index(fasta.read_index(spark, files, kind="fasta"), index)
+        out.append(index)
+    return out
+
+
+@stage
+def quad_files(spark, sf):
+    path = folder(spark, "quads")
+    views.quad_lines(spark, sf).write.text(path)
+    return path
+
+
 @stage
 def raw_lines(spark, sf):
     return cut(views.raw_gfa_lines(spark, sf))
@@ -236,6 +267,29 @@ def _(spark, sf):
     return fasta.prefer(first, second)
 
 
+@query("reads_blocked", "SELECT read_id, seq, read_len::BIGINT AS read_len FROM reads")
+def _(spark, sf):
+    return fasta.read_fasta(spark, blocked_reads(spark, sf), split=1 << 16)
+
+
+@query("reads_quads", "SELECT read_id, seq FROM reads")
+def _(spark, sf):
+    return fasta.read_fastq(spark, quad_files(spark, sf)).select("read_id", "seq")
+
+
+@query(
+    "reads_fetched",
+    f"""SELECT read_id, seq, length(read_id) + length(length(seq)::VARCHAR) + length(seq) + 8 AS n_bytes FROM reads WHERE doc_id % 50 = 0
+    UNION ALL SELECT 'r' || item_id * 40, {oracle._bases('text')}, length('r' || item_id * 40) + length({oracle._bases('text')}) + 3 FROM benchmark
+    WHERE 'r' || item_id * 40 NOT IN (SELECT read_id FROM reads)
+    UNION ALL SELECT read_id, seq, length(read_id) + length(length(seq)::VARCHAR) + length(seq) + 8 FROM reads WHERE doc_id % 50 <> 0 AND read_id IN (SELECT 'r' || item_id * 40 FROM benchmark)""",
+)
+def _(spark, sf):
+    accurate, long = (spark.read.parquet(i) for i in indexed_reads(spark, sf))
+    wanted = views.table(spark, sf, "documents").filter("doc_id % 50 = 0").select(F.concat(F.lit("r"), F.col("doc_id")).alias("read_id"))
+    return fasta.fetch_reads(wanted.unionByName(views.long_reads(spark, sf).select("read_id")), accurate, long)
+
+
 @query("seq_revcomp", f"SELECT read_id, {oracle._rc('seq')} AS rc FROM reads")
 def _(spark, sf):
     return views.reads(spark, sf).select("read_id", sq.reverse_complement("seq").alias("rc"))

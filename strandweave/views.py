@@ -206,3 +206,16 @@ def fastq_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir).select(
         F.concat(F.lit(">"), F.col("read_id"), F.lit(" len="), F.col("read_len"), F.lit("\n"), F.col("seq")).alias("value")
     )
+
+
+def quad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole reads as FASTQ records, whose qualities also begin with the marks of other lines."""
+    seq = F.col("seq")
+    return reads(spark, sf_dir).select(
+        F.concat(F.lit("@"), F.col("read_id"), F.lit(" x\n"), seq, F.lit("\n+\n"), F.translate(seq, "ACGT", "@+IJ")).alias("value")
+    )
+
+
+def long_read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second read set as FASTA records."""
+    return long_reads(spark, sf_dir).select(F.concat(F.lit(">"), "read_id", F.lit("\n"), "seq").alias("value"))
