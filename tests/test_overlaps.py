@@ -130,7 +130,7 @@ def test_hops_reach_outwards_and_stop(spark):
 def test_edit_distance_against_a_table():
     import random
 
-    from strandweave.functions.sequence import edit_distance
+    from strandweave.functions.sequence import edit_distances
 
     def table(a, b):
         row = list(range(len(b) + 1))
@@ -141,9 +141,10 @@ def test_edit_distance_against_a_table():
         return row[-1]
 
     rng = random.Random(4)
-    for _ in range(400):
-        a = "".join(rng.choice("ACGT") for _ in range(rng.randrange(90)))
-        b = "".join(rng.choice("ACGN") for _ in range(rng.randrange(90)))
-        near = a[: rng.randrange(90)] + b[:3] + a[rng.randrange(90) :]
-        assert edit_distance(a, b) == table(a, b)
-        assert edit_distance(a, near) == edit_distance(near, a) == table(a, near)
+    texts = [""] * 4 + ["".join(rng.choice("ACGT") for _ in range(rng.choice([1, 5, 63, 64, 65, 90, 128, 129, 300]))) for _ in range(120)]
+    others = ["".join(rng.choice("ACGN") for _ in range(rng.randrange(200))) for _ in texts]
+    near = [a[: rng.randrange(90)] + b[:3] + a[rng.randrange(90) :] for a, b in zip(texts, others, strict=True)]
+    pairs = list(zip(texts, others, strict=True)) + list(zip(texts, near, strict=True)) + list(zip(near, texts, strict=True)) + [("", "ACG"), ("A", "A")]
+    assert edit_distances(*zip(*pairs, strict=True)).tolist() == [table(a, b) for a, b in pairs]
+    assert edit_distances([], []).tolist() == []
+    assert edit_distances(["ACGT" * 3000], ["ACGT" * 2999 + "TTTT"]).tolist() == [3]
