@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from strandweave import views
 from strandweave.functions import sequence as sq
 from strandweave.functions.overlap import classify, twin_rows
-from strandweave.operators import baseline, contigs, gnn, graph, hops, kmers, overlaps, scaffold, telomere, walks
+from strandweave.operators import baseline, contigs, fingerprint, gnn, graph, hops, kmers, lookahead, overlaps, sampling, scaffold, telomere, walks
+from strandweave.operators.numbering import with_row_index
 from strandweave.plans import oracle
 from strandweave.plans.postprocess import KmerSettings, Settings, TelomereScan, postprocess
 from strandweave.session import checkpoint_dir, cut, tune
@@ -155,6 +156,14 @@ def expanded_contig(spark, sf):
     return hops.expand(accepted_contig(spark, sf), hops.boundary_reads(contig_asm(spark, sf).unitig_ends))
 
 
+@stage
+def expanded_far(spark, sf):
+    """Three hops from the contigs' first reads only, so that there are ghosts of ghosts."""
+    first = contig_placed(spark, sf).filter("pos = 0").select(F.col("name").alias("read_id"))
+    ge, ga = hops.expand(accepted_contig(spark, sf), first, max_hops=3)
+    return cut(ge), cut(ga)
+
+
 @stage
 def counts(spark, sf):
     return cut(kmers.count_kmers(reads(spark, sf), K))
@@ -624,6 +633,19 @@ def _(spark, sf):
     return telomere.motif_totals(chopped(spark, sf)[1])
 
 
+@query("chop_keeps_nodes", "SELECT count(*) AS n_left, count(*) AS n_right, true AS same FROM cplaced")
+def _(spark, sf):
+    return fingerprint.same_rows(contig_asm(spark, sf).walks, chopped(spark, sf)[0], ["node_id"])
+
+
+@query("index_agreement", "SELECT count(*) AS n_left, count(*) AS n_right, true AS same FROM rawedges")
+def _(spark, sf):
+    edges = raw_asm(spark, sf).edges.select("src", "dst")
+    ahead = graph.adjacency(edges).select("src", F.explode("dsts").alias("dst"))
+    back = graph.adjacency(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return fingerprint.same_rows(ahead, back.select(F.explode("dsts").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
+
+
 @query(
     "node_class",
     """SELECT walk_id, CASE WHEN ps IS NOT NULL AND pe IS NOT NULL THEN 1 WHEN ps = '+' THEN 2 WHEN ps IS NOT NULL THEN 3
@@ -666,20 +688,104 @@ def _(spark, sf):
     return graph.reverse_edges(scaffold_graph(spark, sf).edges)
 
 
-def _prune_sql(rounds: int = 12) -> str:
-    body = "p0 AS MATERIALIZED (SELECT src, dst FROM rawedges)"
+def _prune_sql(start: str, n_walks: str, columns: str, rounds: int = 12) -> str:
+    """Dead ends taken off round by round; the statement fails if a round more would take any."""
+    body = f"p0 AS MATERIALIZED ({start})"
     for i in range(rounds):
-        body += f""", p{i + 1} AS MATERIALIZED (SELECT src, dst FROM p{i} WHERE src IN (SELECT dst FROM p{i}) AND dst IN (SELECT src FROM p{i}))"""
-    return f"SELECT new_src, new_dst FROM (WITH {body} SELECT src AS new_src, dst AS new_dst FROM p{rounds})"
+        body += f""", p{i + 1} AS MATERIALIZED (SELECT * FROM p{i} WHERE (new_src < {n_walks} OR new_src IN (SELECT new_dst FROM p{i}))
+         AND (new_dst < {n_walks} OR new_dst IN (SELECT new_src FROM p{i})))"""
+    left = f"(SELECT count(*) FROM p{rounds - 1}) <> (SELECT count(*) FROM p{rounds})"
+    return f"SELECT {columns} FROM (WITH {body} SELECT * FROM p{rounds} WHERE CASE WHEN {left} THEN error('more rounds needed') ELSE true END)"
 
 
-@query("prune_dead_ends", _prune_sql())
+@query("prune_dead_ends", _prune_sql("SELECT src AS new_src, dst AS new_dst FROM rawedges", "0", "new_src, new_dst"))
 def _(spark, sf):
     # all nodes of the overlap graph taken as ghosts
     edges = raw_asm(spark, sf).edges.select(F.col("src").alias("new_src"), F.col("dst").alias("new_dst"))
     return graph.prune_dead_ends(edges, 0)
 
 
+@stage
+def wide_graph(spark, sf):
+    """The scaffold graph over two hops, with edges between ghosts."""
+    asm = contig_asm(spark, sf)
+    ge, ga = expanded_far(spark, sf)
+    return scaffold.build_scaffold(asm.walks, ga, ge, asm.read_node, 0.01, 2, True)
+
+
+@stage
+def first_ghosts(spark, sf):
+    _, ga = expanded_far(spark, sf)
+    n_walks = contig_asm(spark, sf).walks.select("walk_id").distinct().count()
+    return cut(with_row_index(ga.filter("hop = 1").select("orient", "read_id").distinct(), ["orient", "read_id"], "node_id", start=n_walks))
+
+
+@stage
+def both_ghosts(spark, sf):
+    """node_id, orient, read_id of the ghosts of both hops, before pruning."""
+    first = first_ghosts(spark, sf)
+    start = contig_asm(spark, sf).walks.select("walk_id").distinct().count() + first.count()
+    second = scaffold.second_hop(expanded_far(spark, sf)[1], first).select("orient", "read_id").distinct()
+    return cut(first.unionByName(with_row_index(second, ["orient", "read_id"], "node_id", start=start)))
+
+
+@query("second_hop", "SELECT orient, read_id, dir, ghost, prefix_len, ol_len FROM n2 JOIN ok2 USING (orient, read_id)")
+def _(spark, sf):
+    rows = scaffold.second_hop(expanded_far(spark, sf)[1], first_ghosts(spark, sf))
+    return rows.select("orient", "read_id", "dir", "ghost", "prefix_len", "ol_len")
+
+
+@query("ghost_ghost_edges", f"SELECT {_SE} FROM outer_e")
+def _(spark, sf):
+    found = scaffold.inner_edges(expanded_far(spark, sf)[0], contig_asm(spark, sf).read_node, ends(spark, sf), both_ghosts(spark, sf))
+    return found.filter("old_src is null and old_dst is null")
+
+
+_N_WALKS = "(SELECT count(DISTINCT contig_no) FROM cplaced)"
+
+
+@query("scaffold_edges_two_hops", _prune_sql("SELECT * FROM wide_e", _N_WALKS, _SE))
+def _(spark, sf):
+    return wide_graph(spark, sf).edges
+
+
+# One row per walk: the first telomere region of the walk as side and motif, or ''.
+_TELO = "SELECT DISTINCT contig_no AS node_id, coalesce((SELECT arg_min(substr(side, 1, 1) || motif, (motif_no, side)) FROM typed t WHERE t.walk_id = contig_no), '') AS telo FROM cplaced"
+
+
+def walk_telomeres(spark, sf):
+    first = typed(spark, sf).groupBy("walk_id").agg(F.min_by(F.concat(F.substring("side", 1, 1), F.col("motif")), F.struct("motif_no", "side")).alias("telo"))
+    every = contig_asm(spark, sf).walks.select("walk_id").distinct()
+    return every.join(first, "walk_id", "left").select(F.col("walk_id").alias("node_id"), F.coalesce("telo", F.lit("")).alias("telo"))
+
+
+@stage
+def steps_ahead(spark, sf):
+    g, asm = filtered_graph(spark, sf), contig_asm(spark, sf)
+    edges = single_edges(spark, sf)
+    inner = cut(kmers.solid(counts(spark, sf), bounds(spark, sf), inclusive=False))
+    texts = cut(lookahead.flanks(lookahead.ghost_ends(edges, g.n_walks), asm.walks, asm.edges, asm.nodes, asm.sequences))
+    coverage = cut(lookahead.flank_coverage(texts, K, inner, 0.8))
+    return cut(lookahead.ghost_steps(edges, g.n_walks, coverage, 0.3))
+
+
+@query("ghost_steps", "SELECT src, ghost, dst, round(cov_diff, 6) AS cov_diff, invalid, ok FROM gsteps")
+def _(spark, sf):
+    return steps_ahead(spark, sf).withColumn("cov_diff", F.round("cov_diff", 6))
+
+
+@query(
+    "next_walks",
+    f"""SELECT src, (t).ghost AS ghost, (t).dst AS dst, round((t).cov_diff, 6) AS cov_diff, (t).fit = 1 AS final FROM (
+    SELECT src, arg_min({{'cov_diff': cov_diff, 'ghost': ghost, 'dst': dst, 'fit': fit}}, (cov_diff, ghost, dst)) FILTER ((invalid OR ok) AND fit >= 0) AS t FROM (
+    SELECT g.*, CASE WHEN b.telo = '' THEN 0 WHEN a.telo = '' OR (substr(a.telo, 1, 1) <> substr(b.telo, 1, 1) AND substr(a.telo, 2, 1) <> substr(b.telo, 2, 1)) THEN 1 ELSE -1 END AS fit
+    FROM gsteps g JOIN ({_TELO}) a ON a.node_id = src JOIN ({_TELO}) b ON b.node_id = dst) GROUP BY src) WHERE t IS NOT NULL""",
+)
+def _(spark, sf):
+    best = lookahead.next_walks(steps_ahead(spark, sf), walk_telomeres(spark, sf), 0.3)
+    return best.withColumn("cov_diff", F.round("cov_diff", 6))
+
+
 @query("repetitive_ghosts", "SELECT ghost AS node_id FROM rep")
 def _(spark, sf):
     return scaffold.repetitive_ghosts(scaffold_graph(spark, sf), freq_tiles(spark, sf), K, 0.8)
@@ -794,6 +900,22 @@ def scored_edges(spark, sf):
     return cut(asm.edges.join(scores.select("edge_id", "score"), "edge_id"))
 
 
+_HALF = [f"(((((draw + 42 * 1000003 + {o}) % 2147483647) * {f} % 2147483647) * {f} % 2147483647) * {f} % 2147483647)" for f, o in ((48271, 1), (69621, 7))]
+
+
+@query(
+    "sampled_edges",
+    f"""SELECT draw, src * 2097152 + dst AS edge_id, src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS rank FROM rawedges WHERE ol_len % 7 <> 0) p
+    JOIN (SELECT draw, ({_HALF[0]} * 2147483648 + {_HALF[1]}) % (SELECT count(*) FROM rawedges WHERE ol_len % 7 <> 0) AS place FROM (SELECT unnest(range(0, 2000)) AS draw)) ON place = rank""",
+)
+def _(spark, sf):
+    # edges whose overlap is a multiple of 7 stand for those with a probability of zero
+    edges = raw_asm(spark, sf).edges.select(
+        (F.col("src") * 2_097_152 + F.col("dst")).alias("edge_id"), "src", "dst", F.when(F.col("ol_len") % 7 == 0, -100.0).otherwise(1.0).alias("score")
+    )
+    return sampling.sample_edges(edges, 2000, seed=42)
+
+
 @query("gnn_scores")
 def _(spark, sf):
     return scored_edges(spark, sf).select("src", "dst", F.round("score", 3).alias("score"))

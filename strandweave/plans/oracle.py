@@ -306,6 +306,47 @@ CTES["covval"] = """SELECT new_src, new_dst, slot, CASE WHEN greatest(any_value(
  THEN -99999 ELSE sum(freq) / count(freq) END AS c FROM covreq r LEFT JOIN wfreq w ON w.read_id = r.read_id AND w.p >= r.lo AND w.p < r.hi GROUP BY new_src, new_dst, slot"""
 
 
+# ------------------------------------------------------------ two hops and look-ahead
+# hops that start at the contigs' first reads only, so that there are ghosts of ghosts
+CTES["fends"] = "SELECT name AS first, name AS last FROM cplaced WHERE pos = 0"
+CTES["faracc"] = "SELECT * FROM conacc"
+CTES.update(_hops("far", "fends"))
+CTES["fnear"] = CTES["near"].replace("conga", "farga")
+CTES["finner"] = CTES["inner_e"].replace("conge", "farge")
+CTES["g1"] = """SELECT orient, read_id, (SELECT count(DISTINCT contig_no) FROM cplaced) + row_number() OVER (ORDER BY orient, read_id) - 1 AS ghost
+ FROM (SELECT DISTINCT orient, read_id FROM farga WHERE hop = 1)"""
+CTES["n2"] = """SELECT DISTINCT a.orient, a.read_id, a.dir, g.ghost, a.prefix_len, a.ol_len FROM farga a
+ JOIN g1 g ON g.read_id = nbr_read AND g.orient = nbr_orient WHERE hop = 2"""
+CTES["ok2"] = "SELECT orient, read_id FROM n2 GROUP BY ALL HAVING count(*) FILTER (dir = 'in') > 0 AND count(*) FILTER (dir = 'out') > 0"
+CTES["g2"] = """SELECT orient, read_id, (SELECT count(DISTINCT contig_no) FROM cplaced) + (SELECT count(*) FROM g1) + row_number() OVER (ORDER BY orient, read_id) - 1 AS ghost FROM ok2"""
+CTES["gall"] = "SELECT * FROM g1 UNION ALL SELECT * FROM g2"
+CTES["outer_e"] = """SELECT s.ghost AS new_src, d.ghost AS new_dst, NULL::BIGINT AS old_src, NULL::BIGINT AS old_dst, prefix_len, ol_len FROM farge
+ LEFT JOIN cread a ON a.read_id = src_read LEFT JOIN cread b ON b.read_id = dst_read
+ JOIN gall s ON s.read_id = src_read AND s.orient = src_orient JOIN gall d ON d.read_id = dst_read AND d.orient = dst_orient
+ WHERE src_read <> dst_read AND (a.real_id IS NULL OR b.real_id IS NULL)"""
+CTES["wide_e"] = """SELECT CASE WHEN dir = 'out' THEN ghost ELSE walk_id END AS new_src, CASE WHEN dir = 'out' THEN walk_id ELSE ghost END AS new_dst,
+ CASE WHEN dir = 'in' THEN node_id END AS old_src, CASE WHEN dir = 'out' THEN node_id END AS old_dst, prefix_len, ol_len FROM fnear JOIN g1 USING (orient, read_id)
+ UNION ALL SELECT CASE WHEN dir = 'out' THEN g2.ghost ELSE n2.ghost END, CASE WHEN dir = 'out' THEN n2.ghost ELSE g2.ghost END, NULL, NULL, prefix_len, ol_len FROM n2 JOIN g2 USING (orient, read_id)
+ UNION ALL SELECT * FROM finner UNION ALL SELECT * FROM outer_e"""
+CTES["gends"] = f"""SELECT DISTINCT walk_id, node_id FROM (SELECT new_src AS walk_id, old_src AS node_id FROM oneedge WHERE old_src IS NOT NULL AND old_dst IS NULL
+ UNION ALL SELECT new_dst, old_dst FROM oneedge WHERE old_dst IS NOT NULL AND old_src IS NULL)"""
+CTES["cor"] = f"SELECT node_id, CASE WHEN orient = '+' THEN seq ELSE {_rc('seq')} END AS text FROM cnodes JOIN cseqs USING (name)"
+CTES["flank"] = """SELECT walk_id, node_id, CASE WHEN nxt IS NULL THEN joined ELSE substr(joined, 1, to_next::INT) || nxt END AS seq FROM (
+ SELECT e.walk_id, e.node_id, coalesce(substr(tp.text, 1, p.prefix_len::INT), '') || tc.text AS joined, c.prefix_len AS to_next, tn.text AS nxt
+ FROM (SELECT walk_id, e.node_id, min(pos) AS pos FROM gends e JOIN csteps s USING (walk_id, node_id) GROUP BY ALL) e
+ JOIN csteps c ON c.walk_id = e.walk_id AND c.pos = e.pos JOIN cor tc ON tc.node_id = c.node_id
+ LEFT JOIN csteps p ON p.walk_id = e.walk_id AND p.pos = e.pos - 1 LEFT JOIN cor tp ON tp.node_id = p.node_id
+ LEFT JOIN cor tn ON tn.node_id = c.next_node)"""
+CTES["flankcov"] = f"""SELECT walk_id, node_id, CASE WHEN count(*) - count(freq) > 0.8 * count(*) OR count(freq) = 0 THEN -99999.0 ELSE sum(freq) / count(freq) END AS cov FROM (
+ SELECT walk_id, node_id, freq FROM (SELECT walk_id, node_id, least(w, {_rc('w')}) AS w FROM (SELECT walk_id, node_id, substr(seq, j::INT + 1, {K}) AS w FROM (
+ SELECT walk_id, node_id, seq, unnest(range(0, greatest(length(seq) - {K - 1}, 1))) AS j FROM flank)))
+ LEFT JOIN (SELECT s.w, s.freq FROM solid s, bounds b WHERE s.freq > b.lower AND s.freq < b.upper) USING (w)) GROUP BY ALL"""
+CTES["gsteps"] = """SELECT *, (a = -99999 AND b = -99999) OR cov_diff <= 0.3 * greatest(a, b) AS ok FROM (
+ SELECT s.new_src AS src, s.new_dst AS ghost, d.new_dst AS dst, a.cov::DOUBLE AS a, b.cov::DOUBLE AS b, abs(a.cov - b.cov)::DOUBLE AS cov_diff, a.cov = -99999 OR b.cov = -99999 AS invalid
+ FROM oneedge s JOIN oneedge d ON d.new_src = s.new_dst AND s.old_dst IS NULL AND d.old_src IS NULL AND s.old_src IS NOT NULL AND d.old_dst IS NOT NULL AND s.new_src <> d.new_dst
+ JOIN flankcov a ON a.walk_id = s.new_src AND a.node_id = s.old_src JOIN flankcov b ON b.walk_id = d.new_dst AND b.node_id = d.old_dst)"""
+
+
 def _needs(sql: str) -> list[str]:
     import re
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.operators import contigs, decode, scaffold, telomere
+from strandweave.operators.fingerprint import require_same
 from strandweave.operators.kmers import TILE, frequency_tiles
 from strandweave.operators.walks import offsets, pieces, walk_lines
 from strandweave.session import cut
@@ -66,7 +67,9 @@ def chop_at_telomeres(asm: Assembly, walks: DataFrame, settings: Settings):
     placed = offsets(pieces(walks, asm.edges, asm.nodes))
     found = cut(telomere.region_nodes(typed, placed))
     new_walks, telo_ref = telomere.chop_walks(walks, telomere.telomere_events(walks, found))
-    return cut(new_walks), cut(telo_ref)
+    new_walks = cut(new_walks)
+    require_same(walks, new_walks, ["node_id"], "nodes of the walks before and after chopping")
+    return new_walks, cut(telo_ref)
 
 
 def scaffold_sequences(asm: Assembly, graph: scaffold.ScaffoldGraph, reads: DataFrame) -> DataFrame:
