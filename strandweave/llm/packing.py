@@ -4,15 +4,18 @@ Pieces of at most ``capacity`` tokens go into as few sequences as possible.  The
 on the histogram of piece lengths alone, which has ``capacity`` entries at most whatever the
 number of pieces:
 
-1. Lengths are grouped into classes of ``capacity / UNITS``.  The configuration program asks
-   for the least number of patterns (multisets of classes that fit a sequence) covering every
-   class; multiplicative weights solve it: each round prices the classes by how far they are
-   covered, a knapsack dynamic program finds the best-priced pattern, and that pattern's
-   amount grows.
-2. Amounts are rounded down and filled with real lengths, the longest of a class first; what
-   is left, and all lengths below the first class, goes best fit decreasing into the gaps.
-
-Both steps yield runs: ``n`` consecutive sequences that take pieces of one length, with
+1. Lengths are grouped into ``UNITS`` classes.  The configuration program asks for the least
+   number of patterns (multisets of classes that fit a sequence) that cover every class.
+   Multiplicative weights solve it: a class is priced by its size times the exponential of how
+   far its covering lags behind, a knapsack dynamic program finds the best-priced pattern, and
+   that pattern's amount grows by a share of the class it uses up fastest.
+2. An amount is rounded to whole sequences as it grows and filled with real lengths: the
+   longest of each class, and for the last two classes a pair that fills the sequence to the
+   last token, if there is one.
+3. What no pattern can take, and the shortest lengths, which are kept for this, goes best fit
+   decreasing into the gaps, then into new sequences.
+
+All steps yield runs: ``n`` consecutive sequences that take pieces of one length, with
 consecutive ranks, at one offset.  A piece finds its run by its length and its rank among the
 pieces of that length, so the assignment is a lookup in a table whose size does not depend on the
 number of pieces.
@@ -21,6 +24,7 @@ number of pieces.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +38,10 @@ from strandweave.llm.tokens import WordIds
 
 CAPACITY = 4096
 UNITS = 128
-ROUNDS = 4000
+STEP = 0.1  # share of a class that one round of the program covers at most
+LAG = 16.0  # weight of a class that lags behind by all of its pieces, as an exponent
+KEPT = 0.04  # share of the pieces, the shortest, kept out of the patterns to fill gaps
+POOR = 30  # a pattern that leaves more than this share of a sequence empty is not used
 PART_SHIFT = 33
 
 
@@ -59,29 +66,6 @@ def best_pattern(price: np.ndarray, units: int) -> list[int]:
     return found
 
 
-def configuration_program(demand: np.ndarray, units: int = UNITS, rounds: int = ROUNDS, step: float = 0.2) -> dict[tuple[int, ...], float]:
-    """Amounts of patterns that cover ``demand`` (pieces of class i + 1), by multiplicative weights."""
-    wanted = np.flatnonzero(demand)
-    if not len(wanted):
-        return {}
-    covered, amount = np.zeros(len(demand)), {}
-    eta = np.log(len(wanted) + 1) * 8
-    for _ in range(rounds):
-        lowest = covered[wanted].min()
-        if lowest >= 1:
-            break
-        price = np.zeros(len(demand))
-        price[wanted] = np.exp(-eta * (covered[wanted] - lowest)) / demand[wanted]
-        pattern = best_pattern(price, units)
-        use = np.bincount(np.array(pattern) - 1, minlength=len(demand))
-        held = np.flatnonzero(use)
-        grow = step * float((demand[held] / use[held]).min())
-        amount[tuple(pattern)] = amount.get(tuple(pattern), 0.0) + grow
-        covered += np.divide(grow * use, demand, out=np.zeros(len(demand)), where=demand > 0)
-    scale = max(float(covered[wanted].min()), 1e-9)
-    return {p: a / max(scale, 0.05) for p, a in amount.items()}
-
-
 class Plan:
     """Runs (length, first rank, pieces, first sequence, offset) built from a histogram."""
 
@@ -93,6 +77,7 @@ class Plan:
         self.gaps: dict[int, list[tuple[int, int]]] = {}  # room left: [(first sequence, how many)]
         self.rooms: list[int] = []
         self.sequences = 0
+        self.patterned = 0  # pieces that patterns have placed
 
     def put(self, length: int, first: int, n: int, offset: int) -> None:
         self.runs.append((length, self.rank[length], n, first, offset))
@@ -117,23 +102,74 @@ class Plan:
         self.leave(self.capacity - offset, self.sequences, n)
         self.sequences += n
 
-    def patterns(self, amounts: dict[tuple[int, ...], float], width: int) -> None:
-        for pattern, amount in sorted(amounts.items(), key=lambda x: (-x[1], x[0])):
-            todo = int(amount)
-            while todo:
-                used: dict[int, int] = {}
-                lengths = []
-                for unit in pattern:  # class u holds lengths (u - 1) * width + 1 .. u * width
-                    for length in range(unit * width, (unit - 1) * width, -1):
-                        if self.left.get(length, 0) > used.get(length, 0):
-                            used[length] = used.get(length, 0) + 1
-                            lengths.append(length)
-                            break
-                if len(lengths) < len(pattern):
-                    break
-                n = min(todo, *(self.left[length] // k for length, k in used.items()))
-                self.open(lengths, n)
-                todo -= n
+    def longest(self, upto: int, above: int = 0) -> int | None:
+        """The longest length left that is at most ``upto`` and more than ``above``."""
+        found = np.flatnonzero(self.count[above + 1 : upto + 1])
+        return above + 1 + int(found[-1]) if len(found) else None
+
+    def pair(self, total: int, near: int) -> tuple[int, int] | None:
+        """Two lengths left that add up to ``total``, one of them as near as can be to ``near``."""
+        a = np.arange(max(1, total - self.capacity), min(self.capacity, total - 1) + 1)
+        rest = total - a
+        good = a[(self.count[a] > 0) & (self.count[rest] > 0) & ((a != rest) | (self.count[a] > 1))]
+        if not len(good):
+            return None
+        one = int(good[np.abs(good - near).argmin()])
+        return one, total - one
+
+    def lengths_of(self, pattern: list[int], width: int) -> list[int]:
+        """Real lengths for classes in descending order; class u holds (u - 1) * width + 1 .. u * width."""
+        chosen, room = [], self.capacity
+        for i, unit in enumerate(pattern):
+            if i == len(pattern) - 2 and (both := self.pair(room, unit * width)):
+                chosen += both
+                break
+            length = self.longest(min(unit * width, room), (unit - 1) * width)
+            if i == len(pattern) - 1:
+                length = self.longest(room) or length
+            if length is None:
+                continue
+            chosen.append(length)
+            self.count[length] -= 1
+            room -= length
+        self.count[:] = self.stock  # only looked up
+        return chosen
+
+    def patterns(self, units: int, step: float, lag: float, kept: float, poor: int) -> None:
+        """The configuration program by multiplicative weights, in whole sequences."""
+        width = -(-self.capacity // units)
+        self.stock = np.zeros(self.capacity + 1, np.int64)
+        total, aside = sum(self.left.values()), 0
+        for length in sorted(self.left):
+            if aside < kept * total and length < self.capacity // 8:
+                aside += self.left[length]
+            else:
+                self.stock[length] = self.left[length]
+        self.count = self.stock.copy()
+        classes = -(-np.arange(self.capacity + 1) // width)
+        demand = np.bincount(classes, self.stock, units + 1)[1:]
+        size, share = np.arange(1, units + 1), np.divide(1, demand, out=np.zeros(units), where=demand > 0)
+        given_up = np.zeros(units, bool)
+        while True:
+            uncovered = np.bincount(classes, self.stock, units + 1)[1:]
+            open_ = (uncovered > 0) & ~given_up
+            if not open_.any():
+                break
+            ahead = float((uncovered * size).sum() / (demand * size).sum())
+            price = np.where(open_, size * np.exp(lag * (uncovered * share - ahead)), 0.0)
+            pattern = sorted(best_pattern(price, units), reverse=True)
+            lengths = self.lengths_of(pattern, width)
+            used = Counter(lengths)
+            if self.capacity - sum(lengths) > poor:  # nothing left fills a sequence with this class
+                given_up[pattern[0] - 1] = True
+                continue
+            grow = step * min(uncovered[u - 1] / k for u, k in Counter(pattern).items())
+            n = min(max(1, round(grow)), *(int(self.stock[x]) // k for x, k in used.items()))
+            self.open(lengths, n)
+            for x, k in used.items():
+                self.stock[x] -= n * k
+                self.count[x] = self.stock[x]
+            self.patterned += n * len(lengths)
 
     def best_fit(self) -> None:
         """What is left, longest first, each time into the smallest room that holds it."""
@@ -169,19 +205,18 @@ class Plan:
                 self.open([length] * per, self.left[length] // per)
 
 
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, units: int = UNITS) -> Plan:
+    """The packing of pieces counted by length: patterns of the program, then best fit for the rest."""
+    made = Plan(histogram, capacity)
+    made.patterns(units, STEP, LAG, KEPT, capacity // POOR)
+    made.best_fit()
+    return made
+
+
 def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY, units: int = UNITS) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """(runs, sequences) for pieces counted by length; the fewer of the program's and plain best fit."""
-    width = -(-capacity // units)
-    demand = np.zeros(units)
-    for length, n in histogram.items():
-        if length > width:  # shorter ones fill gaps
-            demand[-(-length // width) - 1] += n
-    solved, plain = Plan(histogram, capacity), Plan(histogram, capacity)
-    solved.patterns(configuration_program(demand, units), width)
-    solved.best_fit()
-    plain.best_fit()
-    best = min((solved, plain), key=lambda p: p.sequences)
-    return best.runs, best.sequences
+    """(runs, sequences) of the packing."""
+    made = plan(histogram, capacity, units)
+    return made.runs, made.sequences
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:

@@ -104,6 +104,19 @@ def test_packing_near_the_volume_bound():
         assert sequences <= -(-lengths.sum() // 4096) * 1.02
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_packing_comes_from_patterns(spark, sf):
+    """On the given tables the program needs no more than best fit and leaves it few pieces."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    histogram = {r["length"]: r["count"] for r in packing.pieces(docs.repartition(4), WORD).groupBy("length").count().collect()}
+    made, plain = packing.plan(histogram), packing.Plan(histogram, packing.CAPACITY)
+    plain.best_fit()
+    volume = -(-sum(length * n for length, n in histogram.items()) // packing.CAPACITY)
+    assert volume <= made.sequences <= min(plain.sequences, volume * 1.01)
+    assert made.patterned > 0.9 * sum(histogram.values())
+    assert sum(n for _, _, n, _, _ in made.runs) == sum(histogram.values())
+
+
 def test_packing_opens_no_sequence_beside_room():
     for histogram, most in (({4000: 1_000_000, 20: 3_900_000}, 1_000_000), ({2100: 100_000, 300: 190_000}, 100_000)):
         plan = packing.Plan(histogram, packing.CAPACITY)
