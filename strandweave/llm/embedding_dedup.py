@@ -74,29 +74,28 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each vec_id of ``vectors`` (vec_id, embedding, label, ..).
+    """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding, label, ..).
 
     Only vectors of one label link.  A vector without a label, null, empty, zero or with a null or
-    non-finite component links with nothing, nor do vectors of different lengths.  A repeated
-    vec_id counts once, by its smallest usable (label, embedding); a null vec_id gives rows
-    without component that link with nothing.  Other columns are not read.
+    non-finite component links with nothing, nor do vectors of different lengths.  Every row is a
+    vector, also one whose vec_id is repeated; all rows of a component with its smallest vec_id
+    are kept.  A row with a null vec_id has a null component and links with nothing.  Other
+    columns are not read.
     """
-    rows = vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding")
-    )
+    numbered = F.monotonically_increasing_id().alias("row")
+    rows = shelve(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"), numbered))
     # x - x is 0 for finite x only; a null component makes the test null
     finite = F.forall("embedding", lambda x: F.coalesce((x - x) == 0, F.lit(False))) & F.exists("embedding", lambda x: x != 0)
     usable = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
-    usable = usable.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.label", "v.embedding")
-    usable = shelve(usable.withColumn("dims", F.size("embedding")))
+    usable = usable.select("row", "label", "embedding", F.size("embedding").alias("dims"))
     tiles = usable.groupBy("label", "dims").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    dealt = usable.join(tiles, ["label", "dims"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
+    dealt = usable.join(tiles, ["label", "dims"]).withColumn("own", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         one = group["own"].to_numpy() == group["lo"].to_numpy()
-        ids = group["vec_id"].to_numpy()
+        ids = group["row"].to_numpy()
         all_rows = np.stack(group["embedding"].to_numpy()).astype(np.float64)
         # a power of two keeps every direction and takes lengths off the ends of the range
         all_rows = np.ldexp(all_rows, -np.frexp(np.abs(all_rows).max(axis=1))[1][:, None])
@@ -109,16 +108,16 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, tile:
         n_links = np.bincount(np.concatenate([i, j]), minlength=len(ids))
         root = _roots(len(ids), i, j)
         hit = n_links > 0
-        return pd.DataFrame({"vec_id": ids[hit], "n": n_links[hit], "root": ids[root[hit]]})
-
-    found = shelve(dealt.groupBy("label", "dims", "lo", "hi").applyInPandas(compare, "vec_id long, n long, root long"))
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    named = components(found.filter("vec_id <> root").select(F.col("vec_id").alias("a"), F.col("root").alias("b")), "a", "b")
-    named = named.select(F.col("node_id").alias("vec_id"), "comp")
-    every = rows.select("vec_id").filter("vec_id is not null").distinct().unionAll(rows.select("vec_id").filter("vec_id is null"))
-    joined = every.join(counts, "vec_id", "left").join(named, "vec_id", "left")
-    component = F.coalesce("comp", "vec_id")
-    return joined.select(
+        return pd.DataFrame({"row": ids[hit], "n": n_links[hit], "root": ids[root[hit]]})
+
+    found = shelve(dealt.groupBy("label", "dims", "lo", "hi").applyInPandas(compare, "row long, n long, root long"))
+    counts = found.groupBy("row").agg(F.sum("n").alias("n"))
+    linked = components(found.filter("row <> root").select(F.col("row").alias("a"), F.col("root").alias("b")), "a", "b")
+    linked = linked.select(F.col("node_id").alias("row"), "comp").join(counts, "row")
+    every = shelve(rows.select("row", "vec_id").join(linked, "row", "left"))
+    named = every.filter("comp is not null").groupBy("comp").agg(F.min("vec_id").alias("smallest"))
+    component = F.coalesce("smallest", "vec_id")
+    return every.join(named, "comp", "left").select(
         "vec_id",
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),

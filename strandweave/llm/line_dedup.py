@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.tables import map_arrow, shelve
+from strandweave.llm.tables import map_arrow, shelve, unused
 from strandweave.llm.wordhash import line_spans, mix, slices, span_hashes, text_bytes, word_spans
 
 MIN_WORDS = 20
@@ -238,9 +238,11 @@ def cut_text(text: str, ranges: list[dict]) -> tuple[str, int, int]:
 
 
 def _joined(docs: DataFrame, least: int) -> DataFrame:
-    cuts = removed_ranges(docs, least).select(F.col("doc").alias("_cut_doc"), F.col("ranges").alias("_cut_ranges"))
+    """``docs`` with the ranges to cut as last column."""
+    doc, ranges = unused(docs, "_cut_doc"), unused(docs, "_cut_ranges")
+    cuts = removed_ranges(docs, least).select(F.col("doc").alias(doc), F.col("ranges").alias(ranges))
     # one plan at every size: the texts are shuffled once, skewed partitions are split
-    return docs.join(cuts.hint("merge"), _doc_key() == F.col("_cut_doc"), "left").drop("_cut_doc")
+    return docs.join(cuts.hint("merge"), _doc_key() == F.col(doc), "left").drop(doc)
 
 
 def line_report(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:

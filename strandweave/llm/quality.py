@@ -7,7 +7,7 @@ the id; its log odds less those of the prior are a document's evidence.
 Sites.  Hosts and paths below them get Beta posteriors from the documents' own probabilities.
 A host is shrunk to the global mean with a weight found from the spread of the hosts' means
 (method of moments), a path to its host likewise.  A document's own share is taken out of
-its path, so it is not counted twice.  All of this is grouped sums with map-side combining; a
+its path and its host, so it is not counted twice: a host's only document has the global mean.  All of this is grouped sums with map-side combining; a
 host with a third of all documents is one row of sums.
 
 The final log odds add the evidence to those of the path's posterior.
@@ -119,25 +119,25 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", pat
     rows = shelve(map_arrow(source, run, "doc_id long, host string, path string, odds double").withColumn("p", 1 / (1 + F.exp(-F.col("odds")))))
     by_path = shelve(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * (1 - F.col("p"))).alias("v")))
     by_host = by_path.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"), F.sum("v").alias("host_v"))
-    total = by_host.agg(F.sum("host_n").alias("all_n"), F.sum("host_s").alias("all_s"))
-    host_weight = _weight(by_host.crossJoin(total), F.col("host_s") / F.col("host_n"), F.col("host_n"), F.col("host_v"), F.col("all_s") / F.col("all_n"))
-    hosts = by_host.crossJoin(total).crossJoin(host_weight.withColumnRenamed("weight", "host_weight"))  # one-row tables
-    host_mean = (F.col("host_s") + F.col("host_weight") * F.col("all_s") / F.col("all_n")) / (F.col("host_n") + F.col("host_weight"))
-    hosts = hosts.select("host", host_mean.alias("host_quality"))
-    paths = by_path.join(hosts, "host")
-    path_weight = _weight(paths, F.col("s") / F.col("n"), F.col("n"), F.col("v"), F.col("host_quality"))
-    paths = paths.crossJoin(path_weight)
-    joined = rows.join(paths.select("path", "n", "s", "host_quality", "weight"), "path")
-    others = (F.col("s") - F.col("p") + F.col("weight") * F.col("host_quality")) / (F.col("n") - 1 + F.col("weight"))
+    all_n, all_s = by_host.agg(F.sum("host_n"), F.sum("host_s")).first()
+    mean = F.lit(all_s / all_n if all_n else 0.5)
+    host_weight = F.lit(_weight(by_host, F.col("host_s") / F.col("host_n"), F.col("host_n"), F.col("host_v"), mean))
+    host_mean = (F.col("host_s") + host_weight * mean) / (F.col("host_n") + host_weight)
+    paths = by_path.join(by_host.select("host", "host_n", "host_s", host_mean.alias("host_mean")), "host")
+    weight = F.lit(_weight(paths, F.col("s") / F.col("n"), F.col("n"), F.col("v"), F.col("host_mean")))
+    joined = rows.join(paths.select("path", "n", "s", "host_n", "host_s"), "path")
+    # both posteriors come from the other documents of the site only
+    host_quality = (F.col("host_s") - F.col("p") + host_weight * mean) / (F.col("host_n") - 1 + host_weight)
+    others = (F.col("s") - F.col("p") + weight * F.col("host_quality")) / (F.col("n") - 1 + weight)
     path_quality = F.least(F.greatest(others, F.lit(1e-4)), F.lit(1 - 1e-4))
     evidence = F.col("odds") - F.lit(prior)
     final = evidence + F.log(F.col("path_quality") / (1 - F.col("path_quality")))
-    named = joined.withColumn("path_quality", path_quality).withColumn("quality", 1 / (1 + F.exp(-final)))
+    named = joined.withColumn("host_quality", host_quality).withColumn("path_quality", path_quality).withColumn("quality", 1 / (1 + F.exp(-final)))
     return named.select("doc_id", evidence.alias("evidence"), "host_quality", "path_quality", "quality", (F.col("quality") >= 0.5).alias("keep"))
 
 
-def _weight(sites: DataFrame, mean, n, v, centre) -> DataFrame:
-    """One row: the pseudo-count of the prior, by moments of the sites' means around ``centre``.
+def _weight(sites: DataFrame, mean, n, v, centre) -> float:
+    """The pseudo-count of the prior, by moments of the sites' means around ``centre``.
 
     The squared distances exceed the means' own variance by the variance between sites; centre
     (1 - centre) over it, less 1, is the count, kept between 1 and 10,000.
@@ -145,4 +145,4 @@ def _weight(sites: DataFrame, mean, n, v, centre) -> DataFrame:
     between = F.sum(n * (mean - centre) * (mean - centre)) / F.sum(n) - F.sum(v / n) / F.sum(n)
     level = F.sum(n * centre * (1 - centre)) / F.sum(n)
     count = level / F.greatest(between, F.lit(1e-9)) - 1
-    return sites.agg(F.coalesce(F.least(F.greatest(count, F.lit(1.0)), F.lit(1e4)), F.lit(1.0)).alias("weight"))
+    return sites.agg(F.coalesce(F.least(F.greatest(count, F.lit(1.0)), F.lit(1e4)), F.lit(1.0))).first()[0]

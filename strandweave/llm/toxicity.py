@@ -25,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from strandweave.llm.tables import map_arrow
+from strandweave.llm.tables import map_arrow, unused
 
 PER_CLASS = 6000
-TERMS = 20_000  # entries of the lexicon at most, the heaviest first
 STEMS = (5, 6, 7, 8)  # letters of a beginning
 
 # Letters of other scripts that look like Latin ones, and what digits and signs stand for.
@@ -159,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, except
 
     counts = map_arrow(texts, count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     size = {"n0": 0, "n1": 0}
-    heavy = counts.filter("n1 >= 3 and n1 > n0 / 4 or term = ''").orderBy(F.desc("n1"), "term").limit(4 * TERMS).collect()
+    heavy = counts.filter("n1 >= 3 and n1 > n0 / 4 or term = ''").collect()  # terms of ``per_class`` texts
     for row in heavy:
         if row["term"] == "":
             size = {"n0": row["n0"], "n1": row["n1"]}
@@ -174,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, except
         weight = math.log(rate1 / rate0) - spread if row["term"] else 0
         if weight > 0.7:
             weights[row["term"]] = weight
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:TERMS])
+    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0])))
     draft = Lexicon(weights, list(exceptions), np.zeros(4))
     phrases, x, y = _second_half(texts, draft)
     draft.exceptions = sorted({*exceptions, *phrases})
@@ -213,12 +213,12 @@ def _second_half(texts: DataFrame, draft: Lexicon) -> tuple[list[str], np.ndarra
     found = map_arrow(texts, run, "y int, x array<double>, phrases array<string>")
     data = found.select("y", "x").collect()  # bounded as the sample is
     by_phrase = found.select("y", F.explode("phrases").alias("p")).groupBy("p").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
-    phrases = [r["p"] for r in by_phrase.filter("n0 >= 5 and n1 * 20 <= n0").select("p").limit(TERMS).collect()]
+    phrases = [r["p"] for r in by_phrase.filter("n0 >= 5 and n1 * 20 <= n0").select("p").collect()]
     return phrases, np.array([r["x"] for r in data]).reshape(-1, 3), np.array([r["y"] for r in data])
 
 
-def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs`` with a last column ``_score``; null and empty texts get the curve's lowest value."""
+def scored(docs: DataFrame, lexicon: Lexicon, name: str) -> DataFrame:
+    """``docs`` with a last column ``name``; null and empty texts get the curve's lowest value."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     at = docs.columns.index("text")
 
@@ -226,11 +226,9 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         automaton = shared.value.automaton()
         for batch in batches:
             score = [shared.value.score(fold(t.as_py()), automaton) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def held_out(name):
@@ -245,15 +243,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     lexicon = learn(docs, labels.filter(~held_out(F.col("doc_id"))))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return scored(source, lexicon).select(
+    return scored(source, lexicon, "score").select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that score under 0.5."""
     lexicon = learn(docs, labels.filter(~held_out(F.col("doc_id"))))
-    return scored(docs, lexicon).filter("_score < 0.5").select(*docs.columns)
+    score = unused(docs, "_score")
+    return scored(docs, lexicon, score).filter(F.col(score) < 0.5).drop(score)

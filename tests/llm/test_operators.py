@@ -281,13 +281,18 @@ def test_embedding_links(spark):
     rows = [(i, x.tolist(), int(i % 2)) for i, x in enumerate(v)]
     rows += [(900, None, 0), (901, [], 0), (902, [0.0] * 24, 0), (903, [None] + [1.0] * 23, 0), (904, [float("nan")] * 24, 0), (905, v[0].tolist(), None), (None, v[0].tolist(), 0), (906, [1.0, 2.0], 0), (0, v[0].tolist(), 0)]
     got = embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tile=20).collect()
-    u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    near = (u @ u.T >= 0.98) & (np.arange(160)[:, None] % 2 == np.arange(160) % 2) & ~np.eye(160, dtype=bool)
-    comp = np.arange(160)
-    for _ in range(160):
+    # every row is a vector: the last one repeats id 0
+    ids, w = [*range(160), 0], np.vstack([v, v[:1]])
+    label, u = np.array([*(np.arange(160) % 2), 0]), w / np.linalg.norm(w, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & (label[:, None] == label) & ~np.eye(161, dtype=bool)
+    comp = np.array(ids)
+    for _ in range(161):
         comp = np.minimum(comp, np.where(near, comp[None, :], 999).min(axis=1))
-    want = {(i, int(near[i].sum()), int(comp[i]), bool(comp[i] == i)) for i in range(160)} | {(i, 0, i, True) for i in range(900, 907)} | {(None, 0, None, False)}
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    want = [(ids[i], int(near[i].sum()), int(comp[i]), bool(comp[i] == ids[i])) for i in range(161)] + [(i, 0, i, True) for i in range(900, 907)] + [(None, 0, None, False)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0)]
+    got = embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
     assert embedding_dedup.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).collect() == []
 
 
@@ -344,6 +349,68 @@ def test_pipeline_stages_keep_columns(spark):
     assert {r["doc_id"] for r in rows} == ids and 100 < len(ids) < 200
 
 
+def posteriors(rows, prior):
+    """(host, path, quality) of rows (host, path, p): sites without the row itself, weights by moments."""
+    def weight(sites, centre):
+        n, v = sum(x[0] for x in sites), sum(x[2] / x[0] for x in sites)
+        between = sum(x[0] * (x[1] / x[0] - c) ** 2 for x, c in zip(sites, centre, strict=True)) / n - v / n
+        level = sum(x[0] * c * (1 - c) for x, c in zip(sites, centre, strict=True)) / n
+        return min(max(level / max(between, 1e-9) - 1, 1.0), 1e4)
+
+    def sums(key):
+        out = {}
+        for r in rows:
+            n, s, v = out.get(key(r), (0, 0.0, 0.0))
+            out[key(r)] = (n + 1, s + r[2], v + r[2] * (1 - r[2]))
+        return out
+
+    hosts, paths = sums(lambda r: r[0]), sums(lambda r: r[1])
+    mean = sum(r[2] for r in rows) / len(rows)
+    wh = weight(list(hosts.values()), [mean] * len(hosts))
+    host_of = {r[1]: r[0] for r in rows}
+    centre = [(hosts[host_of[p]][1] + wh * mean) / (hosts[host_of[p]][0] + wh) for p in paths]
+    wp = weight(list(paths.values()), centre)
+    out = []
+    for host, path, p in rows:
+        h = (hosts[host][1] - p + wh * mean) / (hosts[host][0] - 1 + wh)
+        q = min(max((paths[path][1] - p + wp * h) / (paths[path][0] - 1 + wp), 1e-4), 1 - 1e-4)
+        odds = np.log(p / (1 - p)) - prior + np.log(q / (1 - q))
+        out.append((h, q, 1 / (1 + np.exp(-odds))))
+    return mean, out
+
+
+def test_quality_posteriors(spark, labelled):
+    """Sites against brute force; the only document of a host has the global mean as its host."""
+    docs, labels, _, _ = labelled
+    site = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("alone"), F.col("doc_id"))).when(F.col("doc_id") % 2 == 0, "big").otherwise(F.lit(None))
+    docs = docs.withColumn("source", site).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, None).otherwise("en"))
+    _, prior = quality.learn(docs, labels)
+    got = {r["doc_id"]: r for r in quality.quality_scores(docs, labels).collect()}
+    sites = [(r["doc_id"], str(r["source"]), f"{r['source']}/{r['lang']}") for r in docs.select("doc_id", "source", "lang").collect()]
+    p = {i: 1 / (1 + np.exp(-(r["evidence"] + prior))) for i, r in got.items()}
+    mean, want = posteriors([(h, q, p[i]) for i, h, q in sites], prior)
+    for (i, host, _), w in zip(sites, want, strict=True):
+        assert np.allclose([got[i]["host_quality"], got[i]["path_quality"], got[i]["quality"]], w, atol=1e-6)
+        if host.startswith("alone"):
+            assert abs(got[i]["host_quality"] - mean) < 1e-6
+
+
+def test_pipeline_keeps_columns_of_any_name(spark):
+    """Columns named like the stages' own helpers come back as they were."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = ["_row", "_score", "_cut_doc", "_cut_ranges", "_ROW_", "component_id", "lines", "first", "label"]
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rest = stage(spark, wide, sf)
+        assert rest.columns == wide.columns
+        rows = rest.select("doc_id", *names).collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    assert corpus_pipeline.packed(spark, wide, sf).count() >= docs.count()
+
+
 def test_near_copies_go_by_row(spark):
     import corpus_pipeline
 
