@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandweave.llm import decontaminate, jaccard, line_dedup, packing, toxicity
 from strandweave.llm.queries import WORD_BPE
-from strandweave.llm.tables import read, shelve
+from strandweave.llm.tables import read, shelve, unused
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +27,12 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     The rows are numbered before, so that rows with a null id and rows of one id are told apart;
     among rows of one id the hash of the text decides, then the number.
     """
-    rows = shelve(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = jaccard.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.xxhash64("text").alias("text_hash"), "_row")
-    named = groups.join(rows.select("_row", order.alias("first")), "_row")
-    stay = named.groupBy("component_id").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(stay, "_row", "left_semi").select(docs.columns)
+    row = unused(docs, "_row")
+    rows = shelve(docs.withColumn(row, F.monotonically_increasing_id()))
+    keys = rows.select(F.col(row).alias("row"), F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.xxhash64("text").alias("text_hash"), F.col(row).alias("row")).alias("first"))
+    groups = jaccard.jaccard_components(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    stay = groups.join(keys, "row").groupBy("component_id").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(stay, row, "left_semi").select(docs.columns)
 
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
