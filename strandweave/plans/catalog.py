@@ -607,6 +607,18 @@ def _(spark, sf):
     return telomere.region_nodes(typed(spark, sf), placed_pieces(spark, sf))
 
 
+@query("telomere_table_nodes", "SELECT walk_id, start_node, end_node, motif FROM tnodes")
+def _(spark, sf):
+    # the regions as an external finder lists them, one table per motif
+    value = F.concat_ws("\t", F.col("walk_id").cast("string"), F.col("start").cast("string"), F.col("end").cast("string"))
+    listed = [
+        reports.parse_telomere_tsv(regions(spark, sf).filter(F.col("motif_no") == no).select(F.struct("walk_id", "start").alias("line_no"), value.alias("value")), no)
+        for no in range(len(MOTIFS))
+    ]
+    found = telomere.type_regions(listed[0].unionByName(listed[1]), hits(spark, sf), MOTIFS)
+    return telomere.region_nodes(found, placed_pieces(spark, sf))
+
+
 @query(
     "telomere_events",
     """SELECT s.walk_id, s.pos AS lo, motif, min(e.pos) AS hi FROM tnodes t JOIN cpieces s ON s.walk_id = t.walk_id AND s.node_id = t.start_node

@@ -14,6 +14,8 @@ from strandweave.operators.walks import offsets, pieces, walk_lines
 from strandweave.session import cut
 from strandweave.sources.fasta import require_reads
 from strandweave.sources.gfa import Assembly
+from strandweave.sources.reports import parse_telomere_tsv
+from strandweave.sources.text import read_lines
 
 
 @dataclass
@@ -40,6 +42,7 @@ class Settings:
     telo_motifs: tuple[str, str] = ("TTAGGG", "CCCTAA")
     kmers: KmerSettings = field(default_factory=KmerSettings)
     telomere: TelomereScan = field(default_factory=TelomereScan)
+    telomere_tables: tuple[str, str] | None = None  # regions of an external finder, per motif
 
 
 @dataclass
@@ -60,9 +63,13 @@ def chop_at_telomeres(asm: Assembly, walks: DataFrame, settings: Settings):
     motifs, scan = tuple(settings.telo_motifs), settings.telomere
     lines = cut(walk_lines(walks, asm.edges, asm.nodes, asm.sequences, telomere.SCAN_WIDTH))
     hits = cut(telomere.motif_hits(lines, motifs))
-    regions = cut(
-        telomere.telomere_regions(hits, telomere.contig_sizes(lines), motifs, scan.min_score, scan.penalty, scan.max_drop)
-    )
+    if settings.telomere_tables:
+        listed = [parse_telomere_tsv(read_lines(walks.sparkSession, path), no) for no, path in enumerate(settings.telomere_tables)]
+        regions = cut(listed[0].unionByName(listed[1]))
+    else:
+        regions = cut(
+            telomere.telomere_regions(hits, telomere.contig_sizes(lines), motifs, scan.min_score, scan.penalty, scan.max_drop)
+        )
     typed = cut(telomere.type_regions(regions, hits, motifs))
     placed = offsets(pieces(walks, asm.edges, asm.nodes))
     found = cut(telomere.region_nodes(typed, placed))

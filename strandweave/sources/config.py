@@ -30,4 +30,5 @@ def settings_for(config: dict[str, Any], genome: str) -> Settings:
         telo_motifs=tuple(config["genome_info"][genome]["telo_motifs"]),
         kmers=KmerSettings(int(km["k"]), float(km["diff"]), float(km["rep_threshold"])),
         telomere=TelomereScan(**scan),
+        telomere_tables=tuple(tables) if (tables := config["genome_info"][genome]["paths"].get("telomeres")) else None,
     )
