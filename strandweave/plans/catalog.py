@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandweave import views
 from strandweave.functions import sequence as sq
 from strandweave.functions.overlap import classify, twin_rows
-from strandweave.operators import baseline, contigs, fingerprint, gnn, graph, hops, kmers, lookahead, overlaps, sampling, scaffold, telomere, walks
+from strandweave.operators import baseline, contigs, fingerprint, gnn, graph, hops, kmers, lookahead, matching, overlaps, sampling, scaffold, telomere, walks
 from strandweave.operators.numbering import with_row_index
 from strandweave.plans import oracle
 from strandweave.plans.postprocess import KmerSettings, Settings, TelomereScan, postprocess
@@ -798,6 +798,46 @@ def _(spark, sf):
     return best.withColumn("cov_diff", F.round("cov_diff", 6))
 
 
+# Steps of all overlaps of the raw graph, taken as walk, ghost, walk: the source's unitig, the overlap, the target's.
+_TRIPLES = "SELECT src // 2 AS src, 1000000 + (src + dst) % 997 AS ghost, dst // 2 AS dst, max(ol_len) AS score FROM rawedges WHERE src // 2 <> dst // 2 GROUP BY ALL"
+
+
+@stage
+def taken_steps(spark, sf):
+    edges = raw_asm(spark, sf).edges
+    half = lambda c: F.expr(f"{c} div 2")
+    ghost = F.lit(1_000_000) + (F.col("src") + F.col("dst")) % 997
+    triples = edges.select(half("src").alias("src"), ghost.cast("long").alias("ghost"), half("dst").alias("dst"), "ol_len").filter("src <> dst")
+    return cut(matching.greedy_steps(triples.groupBy("src", "ghost", "dst").agg(F.max("ol_len").alias("score"))))
+
+
+# The same, one step after the other: a row of state with what is used up already.
+_GREEDY = f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (ORDER BY score DESC, src, ghost, dst) AS k FROM ({_TRIPLES})),
+ r(k, a, g, b, won) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[], []::BIGINT[], false UNION ALL
+ SELECT s.k, CASE WHEN free THEN list_append(a, src) ELSE a END, CASE WHEN free THEN list_append(g, ghost) ELSE g END, CASE WHEN free THEN list_append(b, dst) ELSE b END, free
+ FROM r JOIN s ON s.k = r.k + 1, LATERAL (SELECT NOT (list_contains(a, src) OR list_contains(g, ghost) OR list_contains(b, dst)) AS free))
+ SELECT src, ghost, dst, score FROM s JOIN r USING (k) WHERE won"""
+
+
+@query("greedy_steps", f"SELECT src, ghost, dst, score FROM ({_GREEDY})")
+def _(spark, sf):
+    return taken_steps(spark, sf)
+
+
+# Rings are opened before their smallest walk; then every walk follows from the start of its path.
+_CHAINS = f"""WITH RECURSIVE t AS MATERIALIZED (SELECT src, ghost, dst FROM ({_GREEDY})),
+ up(node, x, low) AS (SELECT dst, src, least(src, dst) FROM t UNION ALL SELECT node, src, least(low, src) FROM up JOIN t ON t.dst = x WHERE x <> node),
+ ring AS (SELECT node FROM up WHERE x = node AND low = node), u AS (SELECT * FROM t WHERE dst NOT IN (SELECT node FROM ring)),
+ w(start, node, pos) AS (SELECT src, src, 0::BIGINT FROM u WHERE src NOT IN (SELECT dst FROM u) UNION ALL SELECT start, dst, pos + 2 FROM w JOIN u ON src = node),
+ ids AS (SELECT start, row_number() OVER (ORDER BY start) - 1 AS walk_id FROM w WHERE pos = 0)
+ SELECT walk_id, pos, node AS node_id FROM w JOIN ids USING (start) UNION ALL SELECT walk_id, pos + 1, ghost FROM w JOIN ids USING (start) JOIN u ON src = node"""
+
+
+@query("greedy_chains", f"SELECT walk_id, pos, node_id FROM ({_CHAINS})")
+def _(spark, sf):
+    return matching.chains(taken_steps(spark, sf))
+
+
 @query("repetitive_ghosts", "SELECT ghost AS node_id FROM rep")
 def _(spark, sf):
     return scaffold.repetitive_ghosts(scaffold_graph(spark, sf), freq_tiles(spark, sf), K, 0.8)
