@@ -47,81 +47,7 @@ def test_ghosts_join_walks_over_two_hops(spark):
     assert [tuple(r) for r in linked.edges.collect()] == [(0, 1, 0, 2, 2, 3)] and linked.useful
 
 
-# --------------------------------------------------------------- walks, global model
-
-
-def model(edges, telo, single):
-    """One global search over the whole graph, as a plain loop."""
-    n_walks = len(telo)
-    fwd, rev = {}, {}
-    for s, d, okf, df, okr, dr in edges:
-        fwd.setdefault(s, []).append((d, okf, df))
-        rev.setdefault(d, []).append((s, okr, dr))
-    removed, result = set(), []
-
-    def info(n):
-        if n >= n_walks:
-            return None
-        start, end = telo[n]
-        return ("start", start) if start else ("end", end) if end else None
-
-    def walk_from(start, adj, seen):
-        mine, walk = info(start), [start]
-        seen = set(seen) | {start}
-        while True:
-            stop, go = [], []
-            for d, ok, diff in adj.get(walk[-1], []):
-                if d in seen or d in removed:
-                    continue
-                other = info(d)
-                if other is None:
-                    go.append((diff, d, ok))
-                elif mine is None or (mine[0] != other[0] and mine[1] != other[1]):
-                    stop.append((diff, d, ok))
-            if not stop and not go:
-                break
-            if single and len(stop) + len(go) == 1:
-                nxt, last = (stop or go)[0][1], bool(stop)
-            else:
-                good = [x for x in stop if x[2]]
-                last = bool(good)
-                good = good or [x for x in go if x[2]]
-                if not good:
-                    break
-                nxt = min(good)[1]
-            walk.append(nxt)
-            seen.add(nxt)
-            if last:
-                break
-        while walk[-1] >= n_walks:
-            walk.pop()
-        t = telo[walk[-1]]
-        t2t = bool(mine) and any(x and x != mine[1] for x in t)
-        return walk, sum(n < n_walks for n in walk), t2t
-
-    for n, (s, e) in enumerate(telo):
-        if s and e:
-            result.append([n])
-            removed.add(n)
-    for phase in (1, 2):
-        while True:
-            todo = [n for n, (s, e) in enumerate(telo) if n not in removed and bool(s or e) == (phase == 1)]
-            if not todo:
-                break
-            best = None
-            for n in todo:
-                if phase == 1:
-                    w, k, t2t = walk_from(n, fwd if telo[n][0] else rev, ())
-                    w = w if telo[n][0] else w[::-1]
-                else:
-                    a, ka, _ = walk_from(n, fwd, ())
-                    b, kb, _ = walk_from(n, rev, a[1:])
-                    w, k, t2t = b[::-1][:-1] + a, ka + kb - 1, False
-                if best is None or (t2t, k) > best[:2]:
-                    best = (t2t, k, w)
-            removed |= set(best[2])
-            result.append(best[2])
-    return result
+# ------------------------------------------------------------------------------ walks
 
 
 def random_graph(seed, n_walks=14, n_ghosts=16, n_edges=46):
@@ -142,14 +68,66 @@ def as_lists(df):
     return [out[i] for i in range(len(out))]
 
 
-@pytest.mark.parametrize("seed, diff, rounds", [(1, 1, False), (3, 0.5, False), (4, 0.5, True), (5, 1, False)])
-def test_scaffold_walks_against_global_model(spark, seed, diff, rounds):
-    size = (6, 5, 14) if rounds else (14, 16, 46)
-    edges, telo = random_graph(seed, *size)
+def decoded(spark, edges, telo, diff, **how):
     e = spark.createDataFrame(edges, "new_src long, new_dst long, ok_fwd boolean, diff_fwd double, ok_rev boolean, diff_rev double")
     ref = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(telo)], "walk_id long, start string, end string")
-    got = decode.scaffold_walks(e, ref, diff, max_edges=0 if rounds else 10_000)
-    assert as_lists(got) == model(edges, telo, diff >= 1)
+    return as_lists(decode.scaffold_walks(e, ref, diff, **how))
+
+
+@pytest.mark.parametrize("seed, diff", [(1, 1), (3, 0.5), (5, 1)])
+def test_properties_of_scaffold_walks(spark, seed, diff):
+    edges, telo = random_graph(seed)
+    walks = decoded(spark, edges, telo, diff)
+    held = [n for w in walks for n in w]
+    assert len(held) == len(set(held))  # every node once
+    assert {n for n in held if n < len(telo)} == set(range(len(telo)))  # every walk somewhere
+    assert all(w[0] < len(telo) and w[-1] < len(telo) for w in walks)  # no ghost at an end
+    allowed = {(a, b): okf or okr for a, b, okf, _, okr, _ in edges}
+    for w in walks:
+        for step in zip(w, w[1:], strict=False):
+            assert step in allowed and (allowed[step] or diff >= 1)
+        marks = [t for n in w if n < len(telo) for t in telo[n] if t]
+        if len(w) > 1 and marks:
+            inner = [n for n in w[1:-1] if n < len(telo)]
+            assert not any(t for n in inner for t in telo[n])  # telomeres at ends only
+    for n, (s, e) in enumerate(telo):
+        if s and e:
+            assert [n] in walks
+    # nobody is left alone beside an open neighbour that it could have taken
+    single = {w[0] for w in walks if len(w) == 1 and telo[w[0]] == (None, None)}
+    for a, b, okf, _, okr, _ in edges:
+        assert not ({a, b} <= single and (okf or okr))
+
+
+@pytest.mark.parametrize("seed", [4, 6])
+def test_rounds_of_jobs_give_the_same_walks(spark, seed):
+    edges, telo = random_graph(seed, 6, 5, 14)
+    assert decoded(spark, edges, telo, 0.5, max_edges=0) == decoded(spark, edges, telo, 0.5)
+
+
+NONE, END = (None, None), (None, "+")
+
+
+@pytest.mark.parametrize(
+    "edges, telo, diff, want",
+    [
+        # the least difference wins, then the smaller id; a rejected edge never does
+        ([(0, 1, True, 2.0, True, 2.0), (0, 2, True, 1.0, True, 1.0), (0, 3, False, 0.0, False, 0.0)], [NONE] * 4, 0.5, [[0, 2], [1], [3]]),
+        # an edge that is alone is taken unseen, if no edge is to be removed
+        ([(0, 1, False, 9.0, False, 9.0)], [NONE] * 2, 1, [[0, 1]]),
+        ([(0, 1, False, 9.0, False, 9.0)], [NONE] * 2, 0.5, [[0], [1]]),
+        # a walk with a telomere goes before others and prefers to end at the opposite one
+        ([(0, 1, True, 5.0, True, 5.0), (0, 2, True, 1.0, True, 1.0)], [("-", None), END, NONE], 0.5, [[0, 1], [2]]),
+        # a telomere of the same side or motif is no end
+        ([(0, 1, True, 5.0, True, 5.0), (0, 2, True, 7.0, True, 7.0)], [("+", None), END, NONE], 0.5, [[0, 2], [1]]),
+        # ghosts join walks and never stand at an end
+        ([(0, 4, True, 1.0, True, 1.0), (4, 1, True, 1.0, True, 1.0), (1, 5, True, 1.0, True, 1.0)], [NONE] * 2, 0.5, [[0, 4, 1]]),
+        # from the middle a walk grows both ways, and the longest is taken first
+        ([(0, 1, True, 1.0, True, 1.0), (1, 2, True, 1.0, True, 1.0), (3, 1, True, 2.0, True, 2.0)], [NONE] * 4, 0.5, [[0, 1, 2], [3]]),
+    ],
+)
+def test_scaffold_walks_by_hand(spark, edges, telo, diff, want):
+    assert sorted(decoded(spark, edges, telo, diff)) == sorted(want)
 
 
 def test_contig_of_a_scaffold_walk(spark):
