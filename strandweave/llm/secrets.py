@@ -80,7 +80,9 @@ def with_tests(df: DataFrame) -> DataFrame:
     df = df.withColumn("_k", F.length("_alphabet").cast("double")).withColumn("_n", F.col("n_symbols").cast("double"))
     spelled = F.when(F.col("encoding") == "hex", F.lower("_core")).otherwise(F.col("_core"))
     df = df.withColumn("_spelled", spelled)
-    df = df.withColumn("_x", F.transform(F.sequence(F.lit(1), F.greatest("n_symbols", F.lit(1))), lambda i: F.instr(F.col("_alphabet"), F.substring(F.col("_spelled"), i, F.lit(1)))))
+    # one pass over the symbols, whatever the length; the explode of one element keeps it from being repeated
+    symbols = F.transform(F.filter(F.split("_spelled", ""), lambda c: c != ""), lambda c: F.instr(F.col("_alphabet"), c))
+    df = df.withColumn("_x", F.explode(F.array(symbols)))
     n, k = F.col("_n"), F.col("_k")
     squares = F.aggregate(F.array_distinct("_x"), F.lit(0.0), lambda acc, c: acc + F.pow(F.size(F.filter("_x", lambda x: x == c)).cast("double"), F.lit(2.0)))
     uniform = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
@@ -143,11 +145,16 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     tested = shelve(tested.withColumn("bin", F.least(F.floor(F.col("p_random") * BINS), F.lit(BINS - 1)).cast("int")).drop("key"))
     random = tested.join(F.broadcast(_cuts(tested)), ["encoding", "band"]).filter("bin >= cut").select("row", "start", "ord", "end")
     names = F.array(*[F.lit(kind) for kind in ORDER])
-    spans = base.unionAll(random).groupBy("row").agg(F.collect_list(F.struct("start", "ord", "end")).alias("s"))
+    # a random span that meets a base one goes; what begins before and behind it is a running maximum and minimum
+    near = Window.partitionBy("row").orderBy("start")
+    base_end, base_start = (F.max(F.when(F.col("ord") < 3, F.col("end"))), F.min(F.when(F.col("ord") < 3, F.col("start"))))
+    meets = base.unionAll(random).withColumn("before", base_end.over(near.rangeBetween(Window.unboundedPreceding, 0))).withColumn("behind", base_start.over(near.rangeBetween(0, Window.unboundedFollowing)))
+    met = F.coalesce(F.col("before") > F.col("start"), F.lit(False)) | F.coalesce(F.col("behind") < F.col("end"), F.lit(False))
+    clear = meets.filter((F.col("ord") < 3) | ~met)
+    spans = clear.groupBy("row").agg(F.collect_list(F.struct("start", "ord", "end")).alias("s"))
     every = placed.select("row", "doc_id").distinct()
     joined = every.join(spans, "row", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<start:bigint,ord:int,end:bigint>>")))
-    clear = F.filter("s", lambda x: (x["ord"] < 3) | ~F.exists("s", lambda y: (y["ord"] < 3) & (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    named = F.transform(F.array_sort(clear), lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["end"].alias("end"), F.get(names, x["ord"]).alias("kind")))
+    named = F.transform(F.array_sort("s"), lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["end"].alias("end"), F.get(names, x["ord"]).alias("kind")))
     return joined.select("row", "doc_id", named.alias("spans"))
 
 
