@@ -111,9 +111,14 @@ def raw_segments(spark, sf):
     return cut(gfa.number_segments(raw_lines(spark, sf)))
 
 
+@stage
+def raw_edges(spark, sf):
+    return cut(gfa.raw_edges(raw_lines(spark, sf), raw_segments(spark, sf)))
+
+
 @stage
 def raw_asm(spark, sf):
-    return gfa.raw_assembly(raw_lines(spark, sf))
+    return gfa.raw_assembly(raw_lines(spark, sf), raw_segments(spark, sf), raw_edges(spark, sf))
 
 
 @stage
@@ -430,10 +435,7 @@ def _(spark, sf):
     FROM rawedges JOIN segs s ON s.real_id = src - src % 2 JOIN segs d ON d.real_id = dst - dst % 2)""",
 )
 def _(spark, sf):
-    segments = raw_segments(spark, sf)
-    edges = gfa.link_edges(raw_lines(spark, sf), segments)
-    sims = gfa.edge_similarity(edges, gfa.both_strands(segments), segments.select("name", "seq"))
-    return sims.select("src", "dst", F.round("ol_sim", 9).alias("ol_sim"))
+    return raw_edges(spark, sf).select("src", "dst", F.round("ol_sim", 9).alias("ol_sim"))
 
 
 @query("contig_rows", "SELECT contig, pos, start AS \"start\", orient, name, gap_len, next_start FROM crows")

@@ -220,10 +220,22 @@ def number_edges(edges: DataFrame) -> DataFrame:
     return with_row_index(edges, ["line_no"], "edge_id").drop("line_no")
 
 
-def raw_assembly(lines: DataFrame) -> Assembly:
-    """Tables of a raw unitig graph.  Reads inside unitigs replace segment names, if any."""
-    lines = cut(lines)
-    segments = cut(number_segments(lines))
+def raw_edges(lines: DataFrame, segments: DataFrame) -> DataFrame:
+    """The link lines' edges with their similarity, not numbered yet."""
+    return edge_similarity(link_edges(lines, segments), both_strands(segments), segments.select("name", "seq"))
+
+
+def raw_assembly(lines: DataFrame, segments: DataFrame | None = None, edges: DataFrame | None = None) -> Assembly:
+    """Tables of a raw unitig graph.  Reads inside unitigs replace segment names, if any.
+
+    Written tables of :func:`number_segments` and :func:`raw_edges` of the same written lines
+    may be given, else they are made here.
+    """
+    if segments is None:
+        lines = cut(lines)
+        segments = cut(number_segments(lines))
+    if edges is None:
+        edges = raw_edges(lines, segments)
     nodes = both_strands(segments)
     sequences = segments.select("name", "seq")
     members = cut(unitig_members(lines, segments))
@@ -237,8 +249,7 @@ def raw_assembly(lines: DataFrame) -> Assembly:
         read_node = from_members
     else:
         read_node = segments.select(F.col("name").alias("read_id"), "real_id")
-    edges = cut(number_edges(edge_similarity(link_edges(lines, segments), nodes, sequences)))
-    return Assembly(nodes, sequences, edges, cut(read_node), contents, cut(ends_of(contents)))
+    return Assembly(nodes, sequences, cut(number_edges(edges)), cut(read_node), contents, cut(ends_of(contents)))
 
 
 # ------------------------------------------------------------------- final contigs
