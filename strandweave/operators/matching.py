@@ -21,8 +21,11 @@ ENDS = ("src", "ghost", "dst")
 
 
 def greedy_steps(steps: DataFrame) -> DataFrame:
-    """The steps (src, ghost, dst, score) that are taken; the higher score first, then the smaller ids."""
-    rank = F.struct(F.negative("score").alias("less"), *ENDS)
+    """The steps (src, ghost, dst, score) that are taken; the higher score first, then the smaller ids.
+
+    Steps without a score (null) come last.
+    """
+    rank = F.struct(F.isnull("score").alias("none"), F.negative("score").alias("less"), *ENDS)
     left = cut(steps.select(*ENDS, "score").withColumn("rank", rank))
     taken: list[DataFrame] = []
     while not left.isEmpty():
