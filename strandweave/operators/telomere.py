@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from strandweave.operators.numbering import lookup_side, running_max_before, with_row_index
 from strandweave.operators.walks import nodes_at, walk_sizes
@@ -30,7 +35,7 @@ def motif_hits(lines: DataFrame, motifs: tuple[str, str], width: int = SCAN_WIDT
     """walk_id, at, word: every window equal to a rotation of a motif or its reverse.
 
     ``lines`` are contig lines of ``width`` bases, so a long contig is searched by many
-    tasks; only hits leave the search.
+    tasks; only hits leave the search.  The lines of a batch are compared as one byte array.
     """
     for motif in motifs:
         _check_motif(motif)
@@ -42,14 +47,34 @@ def motif_hits(lines: DataFrame, motifs: tuple[str, str], width: int = SCAN_WIDT
     text = lines.join(following, ["contig_id", "line"], "left").select(
         "contig_id", "line", F.concat("bases", F.coalesce("_next", F.lit(""))).alias("t")
     )
-    starts = F.sequence(F.lit(1), F.length("t") - m + 1)
-    found = F.filter(
-        F.transform(starts, lambda i: F.struct(i.alias("i"), F.substring("t", i, F.lit(m)).alias("w"))),
-        lambda x: x["w"].isin(*words),
-    )
-    return text.filter(F.length("t") >= m).select(
-        F.col("contig_id").alias("walk_id"), "line", F.explode(found).alias("h")
-    ).select("walk_id", (F.col("line") * width + F.col("h.i") - 1).alias("at"), F.col("h.w").alias("word"))
+    id_field = lines.schema["contig_id"]
+    schema = StructType([StructField("walk_id", id_field.dataType), StructField("at", LongType()), StructField("word", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.encode("ascii", "replace") for x in batch.column(2).to_pylist()]
+            row, off, which = find_words(texts, words)
+            at = batch.column(1).to_numpy()[row] * width + off
+            found = [batch.column(0).take(pa.array(row)), pa.array(at, pa.int64()), pa.array(words).take(pa.array(which))]
+            yield pa.RecordBatch.from_arrays(found, schema.names)
+
+    return text.mapInArrow(run, schema)
+
+
+def find_words(texts: list[bytes], words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, offset, word) numbers of every occurrence, overlapping ones too; the words have one length.
+
+    All texts are compared at once; the zero byte between two is in no word.
+    """
+    m = len(words[0])
+    flat = np.frombuffer(b"\0".join(texts) + b"\0" * m, np.uint8)
+    starts = np.cumsum([0, *[len(x) + 1 for x in texts[:-1]]])
+    n = len(flat) - m
+    at = [np.flatnonzero(np.logical_and.reduce([flat[k : n + k] == ord(c) for k, c in enumerate(w)])) for w in words]
+    which = np.repeat(np.arange(len(words)), [len(a) for a in at])
+    every = np.concatenate(at)
+    row = np.searchsorted(starts, every, "right") - 1
+    return row, every - starts[row], which
 
 
 def contig_sizes(lines: DataFrame) -> DataFrame:

@@ -72,3 +72,18 @@ def test_regions_against_model(spark):
 def test_self_overlapping_motif_is_refused(spark):
     with pytest.raises(ValueError):
         t.motif_hits(spark.createDataFrame([(0, 0, "ACGT")], "contig_id long, line long, bases string"), ("ACA", "TGT"))
+
+
+def test_words_of_many_lines_at_once():
+    row, off, which = t.find_words([b"ACACA", b"", b"CA", b"AC?N"], ["ACA", "CAC"])
+    assert sorted(zip(row.tolist(), off.tolist(), which.tolist())) == [(0, 0, 0), (0, 1, 1), (0, 2, 0)]
+
+
+def test_hits_are_searched_without_a_scan_per_position(spark, capsys):
+    lines = spark.createDataFrame([(7, 0, "ACTTAGG"), (7, 1, "GACCCTA"), (7, 2, "A")], "contig_id long, line long, bases string")
+    hits = t.motif_hits(lines, MOTIFS, 7)
+    hits.explain()
+    assert "lambdafunction" not in capsys.readouterr().out
+    text, words = "ACTTAGGGACCCTAA", {w for x in MOTIFS for w in t.rotations(x)}
+    want = [(7, i, text[i : i + 6]) for i in range(len(text) - 5) if text[i : i + 6] in words]
+    assert sorted((r.walk_id, r.at, r.word) for r in hits.collect()) == want and len(want) > 1
