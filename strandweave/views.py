@@ -8,8 +8,10 @@ every English read, so one key holds a large share of all rows.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from strandweave.functions.sequence import flip, oriented
 
@@ -22,8 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_AS_BASES = bytes.maketrans((LETTERS + LETTERS.lower()).encode(), (BASES + BASES).encode())
+_NO_LETTER = bytes(b for b in range(256) if not (chr(b).isascii() and chr(b).isalpha()))
+
+
+@F.pandas_udf(StringType())
+def _bases(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t.encode().translate(_AS_BASES, _NO_LETTER).decode(), na_action="ignore")
+
+
 def to_bases(text: str) -> F.Column:
-    return F.translate(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), LETTERS, BASES)
+    """The letters A to Z of a text, in either case, as bases; bytes of other characters are none of them."""
+    return _bases(F.col(text))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
