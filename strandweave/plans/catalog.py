@@ -15,7 +15,7 @@ from strandweave.operators import baseline, contigs, fingerprint, gnn, graph, ho
 from strandweave.operators.numbering import with_row_index
 from strandweave.plans import oracle
 from strandweave.plans.postprocess import KmerSettings, Settings, TelomereScan, postprocess
-from strandweave.session import checkpoint_dir, cut, tune
+from strandweave.session import checkpoint_dir, cut, delta_coded, tune
 from strandweave.sources import fasta, gfa, reports
 from strandweave.sources.paf import parse_paf
 
@@ -171,7 +171,7 @@ def expanded_far(spark, sf):
 
 @stage
 def counts(spark, sf):
-    return cut(kmers.count_kmers(reads(spark, sf), K))
+    return cut(kmers.count_kmers(reads(spark, sf), K), delta_coded("hash"))
 
 
 @stage

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandweave.operators.hops import boundary_reads, expand
 from strandweave.operators.kmers import count_kmers, solid, solid_bounds, spectrum
 from strandweave.operators.overlaps import accepted_overlaps
-from strandweave.session import cut, tune
+from strandweave.session import cut, delta_coded, tune
 from strandweave.sinks.files import load_table, save_tables
 from strandweave.sources.fasta import prefer, read_fasta
 from strandweave.sources.gfa import Assembly, contig_assembly, raw_assembly
@@ -41,7 +41,7 @@ def run_preprocessing(
     tables = {n: getattr(asm, n) for n in ASSEMBLY_TABLES if getattr(asm, n) is not None}
     kept = accepted_overlaps(read_paf(spark, paf_path), asm)
     ghost_edges, ghost_adj = expand(kept, boundary_reads(asm.unitig_ends), max_hops=max_hops)
-    counts = cut(count_kmers(accurate, k))
+    counts = cut(count_kmers(accurate, k), delta_coded("hash"))
     bounds = cut(solid_bounds(spectrum(counts)))
     save_tables(
         out, reads=every, ghost_edges=ghost_edges, ghost_adj=ghost_adj, kmer_counts=counts,

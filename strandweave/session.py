@@ -55,7 +55,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def delta_coded(key: str) -> dict[str, str]:
+    """Options of :func:`cut` for a column of sorted long keys: differences are written, not values."""
+    return {"parquet.writer.version": "v2", f"parquet.enable.dictionary#{key}": "false"}
+
+
+def cut(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """Materialise ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage and survives lost executors.  Against an RDD checkpoint, a written
@@ -64,7 +69,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandweave.operators import kmers as km
@@ -79,3 +81,31 @@ def test_hot_kmers_join_gives_the_same(spark):
     plain = km.with_frequency(occ, table).groupBy("hash").agg(F.sum("freq").alias("s"), F.count("*").alias("n"))
     hot = km.with_frequency(occ, table, counts).groupBy("hash").agg(F.sum("freq").alias("s"), F.count("*").alias("n"))
     assert plain.exceptAll(hot).count() == 0 and hot.exceptAll(plain).count() == 0
+
+
+def test_runs_hold_every_window_in_one_bucket(spark):
+    rng = random.Random(4)
+    for k in (13, 21, 30):
+        texts = ["".join(rng.choice(("ACGT", "ACGTN")[i % 2]) for _ in range(rng.choice((k - 1, k, k + 1, 300)))) for i in range(30)]
+        texts += ["A" * 200, "AT" * 80, texts[0], texts[0][::-1].translate(PAIR)]
+        want = Counter(x for t in texts for x in km.window_keys(t.encode(), k).tolist() if x >= 0)
+        got = km.count_kmers(frame(spark, {f"r{i}": t for i, t in enumerate(texts)}), k).collect()
+        assert len(got) == len(want) and {r.hash: r.freq for r in got} == want
+
+
+def test_distinct_kmers_move_in_few_bytes(spark):
+    # a row per k-mer takes 16 bytes; neighbouring windows that travel together take about 2 each
+    rng = random.Random(5)
+    text = "".join(rng.choice("ACGT") for _ in range(200_000))
+    cuts = km.tiles(frame(spark, {"r": text}), ["read_id"], 21)
+    moved = km.window_runs(cuts, 21).agg(F.sum(F.length("runs") + F.length("times"))).first()[0]
+    assert moved < 2.5 * len(text)
+
+
+def test_merging_in_parts_gives_the_same(spark, monkeypatch):
+    monkeypatch.setattr(km, "MERGED", 10)
+    bucket, run, times = km.runs_of([b"ACGTTGCATTAGCCATGACCATTG" * 20, b"GATTACA" * 50], 21)
+    rows = [pa.RecordBatch.from_arrays([pa.array([r.tobytes()]), pa.array([t.astype("uint32").tobytes()])], ["runs", "times"]) for r, t in ((run[i : i + 3], times[i : i + 3]) for i in range(0, len(run), 3))]
+    found = pa.Table.from_batches(km._run_counter(21)(iter(rows))).to_pydict()
+    want = Counter(x for t in (b"ACGTTGCATTAGCCATGACCATTG" * 20, b"GATTACA" * 50) for x in km.window_keys(t, 21).tolist())
+    assert dict(zip(found["hash"], found["freq"], strict=True)) == want
