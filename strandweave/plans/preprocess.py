@@ -42,7 +42,7 @@ def run_preprocessing(
     kept = accepted_overlaps(read_paf(spark, paf_path), asm)
     ghost_edges, ghost_adj = expand(kept, boundary_reads(asm.unitig_ends), max_hops=max_hops)
     counts = cut(count_kmers(accurate, k), delta_coded("hash"))
-    bounds = cut(solid_bounds(spectrum(counts)))
+    bounds = cut(solid_bounds(spectrum(counts), need_minimum=True))
     save_tables(
         out, reads=every, ghost_edges=ghost_edges, ghost_adj=ghost_adj, kmer_counts=counts,
         kmer_bounds=bounds, kmers=solid(counts, bounds), **tables,

@@ -37,6 +37,22 @@ def test_solid_bounds_golden(spark):
     assert (row.cutoff, row.average, row.nearest, row.lower, row.upper) == (9.0, 5.5625, 6, 3, 7)
 
 
+def test_spectrum_without_a_minimum_has_no_solid_kmers(spark):
+    histo = spark.createDataFrame([(1, 100), (2, 20), (3, 5), (4, 2)], "freq long, n long")
+    bounds = km.solid_bounds(histo)
+    row = bounds.first()
+    assert (row.cutoff, row.average, row.nearest, row.lower, row.upper) == (4.0, None, 1, None, 4)
+    seqs = frame(spark, {"x": "ACGTA", "y": "AC"})
+    counts = km.count_kmers(seqs, 3)
+    solid = km.solid(counts, bounds)
+    assert solid.count() == 0
+    got = {r.read_id: (r.cov_sum, r.avg_cov, r.missed, r.total) for r in km.sequence_coverage(seqs, "read_id", 3, solid).collect()}
+    assert got == {"x": (0, None, 3, 3), "y": (0, None, 1, 1)}
+    asked = spark.createDataFrame([(1, "x", 0, 3)], "req long, read_id string, lo long, hi long")
+    tiles = km.frequency_tiles(seqs, "read_id", 3, solid, counts)
+    assert [(r.cov_sum, r.hits, r.total) for r in km.range_coverage(asked, tiles, "read_id").collect()] == [(0, 0, 3)]
+
+
 def test_keys_match_model_for_short_and_long_k():
     rng = random.Random(1)
     text = "".join(rng.choice("ACGT") for _ in range(200))
