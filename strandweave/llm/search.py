@@ -29,13 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.llm.tables import map_arrow, shelve
 
 TOP = 10
-BLOCK_DOCS, BLOCK_POSTINGS = 4096, 1 << 20  # where a block of the index ends
+BLOCK_DOCS, BLOCK_POSTINGS = 4096, 1 << 18  # where a block of the index ends
+# A row is a block of some MB.  Left to itself Parquet puts a hundred of them into a group, which is written
+# from memory and read into it as a whole.
+ROW_GROUPS = {"parquet.block.row.count.limit": "4"}
 BATCH_TERMS = 200_000  # terms of the items that are searched in one pass over the index
 
 INDEX = "doc_ids array<long>, lens array<long>, n_filled long, n_terms long, terms array<string>, dfs array<int>, docs binary, tfs binary"
@@ -108,7 +112,7 @@ def build_index(docs: DataFrame) -> DataFrame:
             yield flush()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return shelve(texts.mapInArrow(run, INDEX))
+    return shelve(texts.mapInArrow(run, INDEX), ROW_GROUPS)
 
 
 def _top_th(values: np.ndarray, top: int) -> int:
@@ -131,37 +135,41 @@ class Batch:
 
 def impact_index(index: DataFrame, batch: Batch, n_docs: int, n_terms: int, top: int) -> DataFrame:
     """The impact index of a batch of items, written."""
-    place, weight, couple = batch.place, batch.weight, batch.couple
+    wanted, weight, couple = pa.array(sorted(batch.place), pa.string()), batch.weight, batch.couple
 
     def run(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for row in rows.to_pylist():
-            lens = row["lens"]
-            length = np.array([10 + 90 * n * n_docs // n_terms for n in lens], np.int64) if n_terms else np.empty(0, np.int64)
-            starts = np.concatenate([[0], np.cumsum(row["dfs"], dtype=np.int64)])
-            docs, tfs = np.frombuffer(row["docs"], "<u4"), np.frombuffer(row["tfs"], "<u4").astype(np.int64)
+        # a block after the other, and of its terms only those of the items leave the Arrow columns
+        for r in range(rows.num_rows):
+            row = {name: rows.column(name).slice(r, 1) for name in rows.schema.names}
+            length = np.array([10 + 90 * n * n_docs // n_terms for n in row["lens"][0].as_py()], np.int64) if n_terms else np.empty(0, np.int64)
+            dfs = row["dfs"].flatten().to_numpy()
+            ends = np.cumsum(dfs, dtype=np.int64)
+            docs, tfs = np.frombuffer(row["docs"][0].as_buffer(), "<u4"), np.frombuffer(row["tfs"][0].as_buffer(), "<u4")
+            place = pc.index_in(row["terms"].flatten(), value_set=wanted)
             lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for i, term in enumerate(row["terms"]):
-                if (t := place.get(term)) is not None:
-                    d, tf = docs[starts[i] : starts[i + 1]], tfs[starts[i] : starts[i + 1]]
-                    lists[t] = d, weight[t] * (1_000_000_000 * tf // (1000 * tf + 8 * length[d]))
-            pairs, joint = [], []
+            for i in np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                t, some = place[i].as_py(), slice(ends[i] - dfs[i], ends[i])
+                d, tf = docs[some], tfs[some].astype(np.int64)
+                lists[t] = d, weight[t] * (1_000_000_000 * tf // (1000 * tf + 8 * length[d]))
+            pairs, pair_best, pair_kth = [], [], []
             for (a, b), number in couple.items():
                 if a in lists and b in lists:
                     (da, ia), (db, ib) = sorted((lists[a], lists[b]), key=lambda x: len(x[0]))
                     spot = np.minimum(np.searchsorted(db, da), len(db) - 1)
                     both = db[spot] == da
                     if both.any():
+                        joint = ia[both] + ib[spot[both]]
                         pairs.append(number)
-                        joint.append(ia[both] + ib[spot[both]])
+                        pair_best.append(int(joint.max()))
+                        pair_kth.append(_top_th(joint, top))
             own = [i for _, i in lists.values()]
             yield _row(
-                IMPACTS, doc_ids=row["doc_ids"], terms=list(lists), sizes=[len(i) for i in own],
+                IMPACTS, doc_ids=row["doc_ids"][0].as_py(), terms=list(lists), sizes=[len(i) for i in own],
                 docs=b"".join(d.tobytes() for d, _ in lists.values()), impacts=b"".join(i.astype("<i8").tobytes() for i in own),
-                best=[int(i.max()) for i in own], kth=[_top_th(i, top) for i in own],
-                pairs=pairs, pair_best=[int(j.max()) for j in joint], pair_kth=[_top_th(j, top) for j in joint],
+                best=[int(i.max()) for i in own], kth=[_top_th(i, top) for i in own], pairs=pairs, pair_best=pair_best, pair_kth=pair_kth,
             )
 
-    return shelve(map_arrow(index, run, IMPACTS))
+    return shelve(map_arrow(index, run, IMPACTS), ROW_GROUPS)
 
 
 def _floors(impacts: DataFrame, key: str, value: str) -> dict[int, int]:
@@ -216,7 +224,7 @@ def search_batch(impacts: DataFrame, batch: Batch, top: int) -> DataFrame:
         least = list(floor)
         found: dict[int, list[tuple[int, bool, int]]] = defaultdict(list)
         for rows in batches:
-            for block in rows.to_pylist():
+            for block in (rows.slice(r, 1).to_pylist()[0] for r in range(rows.num_rows)):
                 ends = np.cumsum(block["sizes"], dtype=np.int64)
                 docs, values = np.frombuffer(block["docs"], "<u4"), np.frombuffer(block["impacts"], "<i8")
                 lists = {t: (docs[e - n : e], values[e - n : e]) for t, n, e in zip(block["terms"], block["sizes"], ends, strict=True)}

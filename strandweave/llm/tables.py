@@ -15,7 +15,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shelve(df: DataFrame) -> DataFrame:
+def shelve(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` (zstd) under ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage at a table all executors share, so a lost executor costs nothing
@@ -23,7 +23,7 @@ def shelve(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,21 @@ def test_pair_bounds_are_bounds_and_tighter():
     assert tighter > 100
 
 
+def test_index_is_written_and_read_in_groups_of_few_blocks(spark):
+    # 3,000,000 postings in one task: the rows of a group are held together by whoever writes or reads it
+    numbers = F.sequence(F.lit(0), F.lit(14_999))
+    docs = spark.range(200, numPartitions=1).select(
+        F.col("id").alias("doc_id"), F.array_join(F.transform(numbers, lambda x: F.concat(F.lit("w"), (x + F.col("id") * 60).cast("string"))), " ").alias("text")
+    )
+    index = search.build_index(docs)
+    assert index.select(F.sum("n_terms"), F.sum(F.aggregate("dfs", F.lit(0), lambda a, x: a + x))).first() == (3_000_000, 3_000_000)
+    groups = [f.metadata.row_group(i) for f in map(pq.ParquetFile, (x.removeprefix("file://") for x in index.inputFiles())) for i in range(f.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == index.count() and max(g.total_byte_size for g in groups) < 12_000_000
+    items = spark.createDataFrame([(1, "w0 w14"), (2, "w26939 absent")], "item_id long, text string")
+    got = [(r.item_id, r.rank, r.doc_id) for r in search.search(docs, items).collect()]
+    assert sorted(got) == [(1, 1, 0), (2, 1, 199)]
+
+
 # --------------------------------------------------------------------------- mixing
 
 
