@@ -125,3 +125,36 @@ def test_merging_in_parts_gives_the_same(spark, monkeypatch):
     found = pa.Table.from_batches(km._run_counter(21)(iter(rows))).to_pydict()
     want = Counter(x for t in (b"ACGTTGCATTAGCCATGACCATTG" * 20, b"GATTACA" * 50) for x in km.window_keys(t, 21).tolist())
     assert dict(zip(found["hash"], found["freq"], strict=True)) == want
+
+
+def test_tile_frequencies_against_brute_force(spark):
+    rng = random.Random(6)
+    base = "".join(rng.choice("ACGT") for _ in range(3000))
+    seqs = {"n": "A" * 400 + "N" + base[:700], "copies": base[:900] * 3, "short": "ACGT"}
+    for i in range(40):
+        text = base[rng.randrange(2500) :][: rng.choice((12, 30, 31, 400, 1100))]
+        seqs[f"r{i}"] = text[::-1].translate(PAIR) if i % 3 else text
+    for k in (13, 21, 30):
+        counts = km.count_kmers(frame(spark, seqs), k)
+        table = {r.hash: r.freq for r in counts.filter("freq between 2 and 300").collect()}
+        solid = spark.createDataFrame(list(table.items()), "hash long, freq long")
+        for tile in (64, 1024):
+            want = {}
+            for name, text in seqs.items():
+                f = [table.get(x) for x in km.window_keys(text.encode(), k).tolist()]
+                want |= {(name, t // tile): (f[t : t + tile], sum(x or 0 for x in f[:t]), sum(x is not None for x in f[:t])) for t in range(0, len(f), tile)}
+            rows = km.frequency_tiles(frame(spark, seqs), "read_id", k, solid, counts, tile).collect()
+            assert len(rows) == len(want) and {(r.read_id, r.tile): (r.freqs, r.sum_before, r.hits_before) for r in rows} == want
+
+
+def test_lookups_move_in_few_bytes(spark):
+    # a row per window takes 20 bytes and more; here it is a fraction of a run there and a byte back
+    rng = random.Random(7)
+    text = "".join(rng.choice("ACGT") for _ in range(200_000))
+    seqs = frame(spark, {"r": text})
+    cuts = km.tiles(seqs, ["read_id"], 21).withColumn("spot", F.monotonically_increasing_id()).cache()
+    asked, known = km.asked_runs(cuts, 21), km.known_keys(km.count_kmers(seqs, 21).withColumnRenamed("n", "freq"), 21)
+    there = asked.agg(F.sum(F.length("runs") + 20)).first()[0]
+    fields = "block long, lo long, hi long, bucket int, width int, freqs binary"
+    back = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(km._bucket_answers(21), fields).agg(F.sum(F.length("freqs") + 32), F.sum(F.length("freqs"))).first()
+    assert back[1] == len(text) - 20 and there < 2.5 * len(text) and back[0] < 2.5 * len(text)
